@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import count_column, encode_column
 from tidemark.llm.packing import Limits, pack
+from tidemark.llm.quantiles import percentile_table
 from tidemark.plans.registry import Registry
 from tidemark.sources.tables import table
 
 LLM = Registry()
 
 
+@LLM.query("p3_percentiles")
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentile_table(table(spark, sf_dir, "condition_evals"), "eval_id", "asset_key", "timestamp", "eval_duration_us")
+
+
 @LLM.query("p7_ids")
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"))
