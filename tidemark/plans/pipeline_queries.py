@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.features import activity_by_type, event_types, feature_table
 from tidemark.operators.history import version_history
+from tidemark.operators.log_templates import find_layouts, mine_templates, parse_entries
 from tidemark.operators.references import orphan_counts, orphan_references, run_references
 from tidemark.operators.tree_aggregate import heavy_keys, key_activity
 from tidemark.plans.registry import CORE
@@ -39,6 +40,24 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy_keys(key_activity(table(spark, sf_dir, "asset_events")), share=0.04)
 
 
+@CORE.query("p2_templates")
+def p2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mined templates themselves: constants and variable slots of each cluster, with their lines."""
+    return mine_templates(table(spark, sf_dir, "run_logs"))
+
+
+@CORE.query("p2_entries")
+def p2_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = table(spark, sf_dir, "run_logs")
+    return parse_entries(logs, find_layouts(mine_templates(logs)))
+
+
+@CORE.query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = table(spark, sf_dir, "run_logs")
+    return parse_entries(logs, find_layouts(mine_templates(logs)), message=False)
+
+
 @CORE.query(
     "p4_found",
     """
