@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import count_column, encode_column
 from tidemark.llm.packing import Limits, pack
 from tidemark.llm.quantiles import percentile_table
+from tidemark.llm.subjects import assign_subjects
 from tidemark.plans.registry import Registry
 from tidemark.sources.tables import table
 
@@ -26,3 +28,23 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.query("p8_containers")
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(count_column(table(spark, sf_dir, "documents")), limits=Limits(tokens=2048))
+
+
+def subjects_of(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    documents, labels, subjects = (table(spark, sf_dir, t) for t in ("documents", "doc_labels", "subjects"))
+    return assign_subjects(documents, labels, subjects, keep)
+
+
+@LLM.query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects_of(spark, sf_dir).select("doc_id", "subject")
+
+
+@LLM.query("p9_composition")
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by subject, kind of source and language code; a document of two subjects counts in both."""
+    found = subjects_of(spark, sf_dir, ("source", "lang"))
+    language = F.coalesce(F.lower(F.regexp_extract("lang", "^[A-Za-z]{2}", 0)), F.lit(""))
+    return found.groupBy("subject", F.split("source", ":")[0].alias("source"), language.alias("lang")).agg(
+        F.count(F.lit(1)).alias("n_documents"), F.sum("posterior").alias("expected_documents")
+    )
