@@ -34,8 +34,9 @@ BUCKETS = 1 << 18
 LABELLED_DOCUMENTS = 50_000
 #: Rounds of expectation-maximisation over all documents.
 ROUNDS = 3
-#: Evidence below this log ratio is none; a sentence speaks of a subject from this sum on.
-LEAST_EVIDENCE = 3.0
+#: A word is evidence if it is this many times as frequent in a subject as spread evenly over one other
+#: subject; against the complement of n - 1 subjects the ratio is n - 1 times higher.
+LEAST_RATIO = 1.8
 SMOOTHING = 0.2
 #: Trust in a person's label against what the text says, while training.
 LABEL_TRUST = 0.9
@@ -48,6 +49,11 @@ _CACHE: dict[str, int] = {}
 _CACHED = 500_000
 
 
+def least_evidence(subjects: int) -> float:
+    """The log ratio below which a word is no evidence; a sentence speaks of a subject from this sum on."""
+    return float(np.log(LEAST_RATIO * max(subjects - 1, 1)))
+
+
 def _bucket(feature: str) -> int:
     found = _CACHE.get(feature)
     if found is None:
@@ -122,7 +128,7 @@ class Batch:
         """Sentences of each document that speak of each subject, and in the last column of none."""
         subjects = scores.shape[1]
         best = scores.argmax(1) if len(scores) else np.zeros(0, np.int64)
-        choice = np.where(scores.max(1) > LEAST_EVIDENCE, best, subjects) if len(scores) else best
+        choice = np.where(scores.max(1) > least_evidence(subjects), best, subjects) if len(scores) else best
         return np.bincount(self.document * (subjects + 1) + choice, minlength=self.size * (subjects + 1)).reshape(self.size, -1).astype(np.float64)
 
     def add_counts(self, share: np.ndarray, totals: np.ndarray) -> None:
@@ -142,7 +148,7 @@ def evidence(counts: np.ndarray) -> np.ndarray:
     own = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * len(counts)))
     rest = np.log((others + SMOOTHING) / (others.sum(0) + SMOOTHING * len(counts)))
     found = (own - rest).astype(np.float32)
-    found[found < LEAST_EVIDENCE] = 0
+    found[found < least_evidence(counts.shape[1])] = 0
     return found
 
 
@@ -161,7 +167,8 @@ def count_features(encoded: DataFrame, subjects: int, weights: np.ndarray | None
             part = Batch.of(batch.column(1), batch.column(2))
             labelled = label_shares(masks, subjects)
             if shared is None:
-                part.add_counts(labelled[part.document], totals)
+                # At first a document of several subjects can't say which of its words is whose: it counts for little.
+                part.add_counts((labelled**3)[part.document], totals)
                 continue
             scores = part.scores(shared.value)
             about = part.votes(scores)[:, :subjects]
@@ -214,7 +221,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, penalty: float =
 class Model:
     subjects: list[str]
     weights: np.ndarray
-    calibration: np.ndarray
+    calibration: np.ndarray | None  # none if there were no labels
     fallback: int | None
 
 
@@ -249,9 +256,15 @@ class _Subjects:
         self.schema, self.threshold = schema, threshold
 
     def __call__(self, kept: pd.DataFrame, known: np.ndarray, votes: np.ndarray) -> pd.DataFrame:
-        posterior = 1 / (1 + np.exp(-np.clip(vote_features(votes, self.fallback) @ self.calibration, -30, 30)))
-        chosen = posterior >= self.threshold
-        if len(chosen):
+        if self.calibration is None:
+            posterior = np.zeros((len(votes), len(self.names)))
+            chosen = np.zeros(posterior.shape, dtype=bool)
+            if self.fallback is not None:
+                chosen[:, self.fallback] = True
+        else:
+            posterior = 1 / (1 + np.exp(-np.clip(vote_features(votes, self.fallback) @ self.calibration, -30, 30)))
+            chosen = posterior >= self.threshold
+        if len(chosen) and self.calibration is not None:
             # A text with words is about something: if nothing stands out, about what is likeliest.
             chosen[np.arange(len(chosen)), posterior.argmax(1)] |= ~chosen.any(1)
         row, subject = np.nonzero(chosen & known.astype(bool)[:, None])
@@ -270,6 +283,8 @@ def train(encoded: DataFrame, subjects: Sequence[str], fallback: str | None = "s
     """Train on ``encoded`` documents, whose ``mask`` has the labels where there are any."""
     subjects = list(subjects)
     default = subjects.index(fallback) if fallback in subjects else None
+    if encoded.filter("mask > 0").isEmpty():
+        return Model(subjects, np.zeros((BUCKETS, len(subjects)), np.float32), None, default)
     weights = evidence(count_features(encoded, len(subjects), None, default))
     for _ in range(rounds):
         weights = evidence(count_features(encoded, len(subjects), weights, default))
@@ -287,7 +302,8 @@ def assign_subjects(
     Texts that are null, empty, blank or mere punctuation have no row. Every other text has one row
     at least; one in which nothing speaks of any subject goes to ``fallback``. Rows that repeat a
     doc_id are judged one by one. Labels of unknown subjects or documents are ignored; with no
-    labels at all every text goes to the fallback, with no subjects there are no rows.
+    labels at all every text goes to the fallback, with posterior 0 (no rows if it is no subject); with
+    no subjects there are no rows.
     """
     names = [r[0] for r in subjects.select("subject").filter("subject is not null").distinct().orderBy("subject").limit(MAX_SUBJECTS + 1).collect()]
     kind = documents.schema["doc_id"].dataType.simpleString()
