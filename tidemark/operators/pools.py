@@ -31,7 +31,8 @@ def claims(needs: DataFrame, infos: DataFrame) -> DataFrame:
     no room. All or nothing: one full pool refuses the step.
     """
     rows = needs.join(infos, "pool_key", "left")
-    fits = (F.col("slot_limit") < 0) | (F.coalesce("claimed", F.lit(0)) + F.col("slots") <= F.coalesce("slot_limit", F.lit(0)))
+    room = F.coalesce("slot_limit", F.lit(0)) - F.coalesce("claimed", F.lit(0))
+    fits = F.coalesce(F.col("slot_limit") < 0, F.lit(False)) | (F.col("slots") <= room)
     part = F.format_string("'%s' (%d/%d)", "pool_key", F.coalesce("claimed", F.lit(0)).cast("int"), F.coalesce("slot_limit", F.lit(0)).cast("int"))
     full = rows.withColumn("__full", F.when(~fits, F.struct("pool_key", part.alias("text"))))
     listed = full.groupBy("step_key").agg(F.sort_array(F.collect_list("__full"))["text"].alias("texts"))
