@@ -44,7 +44,8 @@ def orphan_references(references: DataFrame, parents: DataFrame, deleted: DataFr
     shuffled, the few hot ones in salted parts.
     """
     written = references.filter(F.col("run_id").isNotNull() & ~is_blank(F.col("run_id"))).withColumn("__id", normal_id(F.col("run_id")))
-    distinct = written.groupBy("__id").agg(F.min("ingested_at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    # One row per id, stored, as both kinds of candidates start from it.
+    distinct = cut_lineage(written.groupBy("__id").agg(F.min("ingested_at").alias("__first"), F.count(F.lit(1)).alias("__n")))
     known = parents.filter(F.col("run_id").isNotNull()).groupBy(normal_id(F.col("run_id")).alias("__id")).agg(F.min("ingested_at").alias("__parent_at"))
     gone = deleted.filter(F.col("run_id").isNotNull()).select(normal_id(F.col("run_id")).alias("__id")).distinct()
     orphans = distinct.join(known, "__id", "left_anti").join(gone.withColumn("__gone", F.lit(True)), "__id", "left")
