@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,7 +23,13 @@ class Registry:
         def add(run: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is registered twice")
-            self.queries[name] = run
+
+            @wraps(run)
+            def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship_package(spark)
+                return run(spark, sf_dir)
+
+            self.queries[name] = shipped
             if sql is not None:
                 self.sql[name] = sql
             return run

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,17 @@ def shuffle_width(spark: SparkSession) -> int:
     """An upper bound on the number of partitions that a shuffle of this session has."""
     names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
     return max(int(v) for v in (spark.conf.get(n, None) or "1" for n in names))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, so that they can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tidemark-')}/tidemark-package", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
