@@ -170,6 +170,27 @@ def test_latches_and_quantifiers(spark):
     assert C.Evaluation(facts.limit(0), edges=edges).run(C.eager()).count() == 0
 
 
+def test_trace_shows_every_node(spark):
+    facts = spark.createDataFrame([("a", 0, True), ("b", 0, False)], "key string, tick long, failed boolean")
+    shown = {r.path: (r.node, r.n_true, r.n_cells) for r in C.Evaluation(facts).trace((C.FAILED & ~C.IN_PROGRESS).named("top")).collect()}
+    assert shown == {"": ("All", 1, 2), "0": ("execution_failed", 1, 2), "1": ("Not", 2, 2), "1.0": ("in_progress", 0, 2)}
+
+
+def test_initials_and_hue(spark):
+    from tidemark.functions.formats import hue, initials
+
+    df = spark.createDataFrame([("John  van Doe",), ("admin",), ("--- !",), ("",), ("é",)], "s string")
+    assert [tuple(r) for r in df.select(initials(F.col("s"))).collect()] == [("JD",), ("A",), ("?",), ("?",), ("É",)]
+
+    def fnv(text):
+        h = 2_166_136_261
+        for b in text.encode():
+            h = ((h ^ b) * 16_777_619) % (1 << 32)
+        return h % 360
+
+    assert [r[0] for r in df.select(hue(F.col("s"))).collect()] == [fnv(r.s) for r in df.collect()]
+
+
 def test_floors(spark):
     df = spark.createDataFrame([("d", 5), ("d", None), ("e", 7), ("e", 3), ("f", None)], "dep_key string, at long")
     assert rows(C.floor_over(df)) == [("d", None), ("e", 3), ("f", None)] and rows(C.floor_over(df, True)) == [("d", 5), ("e", 3), ("f", None)]

@@ -132,6 +132,18 @@ def test_handlers(spark, tmp_path):
         convert(df, int)
 
 
+def test_schema_bytes_and_key_values(spark, tmp_path):
+    from tidemark.sources.handlers import KeyValues, schema_from_bytes, schema_to_bytes
+
+    schema = frame(spark, [], "a long, b array<struct<k:string,v:decimal(10,2)>>, c timestamp_ntz").schema
+    assert schema_from_bytes(schema_to_bytes(schema)) == schema
+    kv = KeyValues(spark, str(tmp_path / "kv"))
+    assert kv.get("a") is None
+    kv.set("a", b"1")
+    kv.set("a", b"\x00\xff")
+    assert kv.get("a") == b"\x00\xff" and kv.get("b") is None
+
+
 def test_repository(spark, tmp_path):
     seen = []
 

@@ -249,6 +249,26 @@ class Evaluation:
         frame, fired = self._eval(self.facts, self.ids, tree, None)
         return frame.select(*self.ids, "tick", fired.alias("fired"))
 
+    def trace(self, tree: Node) -> DataFrame:
+        """tick, path, node, label, n_true, n_cells: how each node of the tree came out, for display.
+
+        The path numbers the operands from the root ('' ), as in 0.1; conditions over dependencies
+        are shown as one node.
+        """
+
+        def nodes(node: Node, path: str) -> Iterator[tuple[str, Node]]:
+            yield path, node
+            if not isinstance(node, (Deps, AssetMatches)):
+                for i, child in enumerate(node.children()):
+                    yield from nodes(child, f"{path}.{i}" if path else str(i))
+
+        def row(path: str, node: Node) -> DataFrame:
+            name = node.name if isinstance(node, Fact) else type(node).__name__
+            counts = self.run(node).groupBy("tick").agg(F.count_if("fired").alias("n_true"), F.count(F.lit(1)).alias("n_cells"))
+            return counts.select("tick", F.lit(path).alias("path"), F.lit(name).alias("node"), F.lit(node.label).cast("string").alias("label"), "n_true", "n_cells")
+
+        return reduce(DataFrame.unionByName, (row(p, n) for p, n in nodes(tree, "")))
+
     def _eval(self, frame: DataFrame, ids: list[str], node: Node, root: str | None) -> tuple[DataFrame, Column]:
         before = W.partitionBy(*ids).orderBy("tick")
         so_far = before.rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -221,3 +221,32 @@ def assets_by_tag(spark: SparkSession, d: str) -> DataFrame:
 @CORE.query("assets_by_group", "SELECT asset_group, count(*) AS n, count(last_run_id) AS materialized FROM assets WHERE asset_group IN ('core', 'ops') GROUP BY asset_group")
 def assets_by_group(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "assets").filter(F.col("asset_group").isin("core", "ops")).groupBy("asset_group").agg(F.count(F.lit(1)).alias("n"), F.count("last_run_id").alias("materialized"))
+
+
+@CORE.query(
+    "avatar_hue",
+    """SELECT DISTINCT asset_key, CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(asset_key, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296) % 360 AS INTEGER) AS hue,
+ upper(substr(asset_key, 1, 1)) AS initials FROM assets""",
+)
+def avatar_hue(spark: SparkSession, d: str) -> DataFrame:
+    from tidemark.functions.formats import hue, initials
+
+    return table(spark, d, "assets").select("asset_key", hue(F.col("asset_key")).alias("hue"), initials(F.col("asset_key")).alias("initials")).distinct()
+
+
+@CORE.query(
+    "relative_time",
+    f"""SELECT run_id, CASE WHEN s < 0 THEN 'just now' WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s < 2592000 THEN (s // 86400) || 'd ago'
+ ELSE strftime(make_timestamp(start_time // 1000), '%Y-%m-%d') END AS started FROM (SELECT *, {AS_OF // SECOND} - start_time // {SECOND} AS s FROM runs)""",
+)
+def relative_time(spark: SparkSession, d: str) -> DataFrame:
+    from tidemark.functions.formats import relative_text
+
+    return table(spark, d, "runs").select("run_id", relative_text(F.col("start_time"), F.lit(AS_OF // SECOND)).alias("started"))
+
+
+@CORE.query("exception_types", """SELECT DISTINCT asset_group, '["' || asset_group || '","OSError"]' AS encoded, 2 AS n FROM assets WHERE asset_group IS NOT NULL""")
+def exception_types(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "assets").filter("asset_group IS NOT NULL").select("asset_group").distinct()
+    encoded = names.withColumn("encoded", X.encode_types(F.array("asset_group", F.lit("OSError"))))
+    return encoded.withColumn("n", F.size(X.decode_types(F.col("encoded"))))

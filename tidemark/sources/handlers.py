@@ -160,4 +160,33 @@ def to_frame(spark: SparkSession, value: Any, schema: StructType | None = None)
     raise TypeError(f"can't store a {type(value).__name__} as a table")
 
 
-__all__ = ["AssetSettings", "Context", "Handlers", "IOHandler", "MemoryHandler", "Static", "TableHandler", "TimeWindow", "convert", "partition_suffix", "to_frame"]
+def schema_to_bytes(schema: StructType) -> bytes:
+    """A schema as an Arrow IPC message, readable by any Arrow library."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema).serialize().to_pybytes()
+
+
+def schema_from_bytes(data: bytes) -> StructType:
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    return from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(data)), prefer_timestamp_ntz=True)
+
+
+class KeyValues:
+    """A small map of keys to bytes in a versioned table; a set replaces the key's value."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.table = spark, VersionedTable(spark, root)
+
+    def set(self, key: str, value: bytes) -> None:
+        self.table.write(self.spark.createDataFrame([(key, bytearray(value))], "key string, value binary"), "merge", keys=["key"])
+
+    def get(self, key: str) -> bytes | None:
+        from pyspark.sql import functions as F
+
+        row = self.table.read(predicate=F.col("key") == key).first() if self.table.exists() else None
+        return None if row is None else bytes(row["value"])
+
+
+__all__ = ["KeyValues", "schema_from_bytes", "schema_to_bytes", "AssetSettings", "Context", "Handlers", "IOHandler", "MemoryHandler", "Static", "TableHandler", "TimeWindow", "convert", "partition_suffix", "to_frame"]
