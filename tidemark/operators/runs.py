@@ -164,10 +164,13 @@ def dequeue_tag_limit(runs: DataFrame, key: str, limit: int, slots: int) -> Data
     value = F.try_element_at(F.filter("tags", lambda t: t["k"] == key), F.lit(1))["v"]
     tagged = runs.withColumn("__value", value)
     running = tagged.filter((F.col("status") == "Started") & F.col("__value").isNotNull()).groupBy("__value").agg(F.count(F.lit(1)).alias("__running"))
-    queued = tagged.filter(F.col("status") == "Queued").join(F.broadcast(running) if limit > 0 else running, "__value", "left")
+    queued = tagged.filter(F.col("status") == "Queued")
+    # The constant bound on the place lets each task keep ``limit`` runs of a value before the shuffle.
     place = F.row_number().over(W.partitionBy("__value").orderBy(*queue_order()))
-    free = queued.withColumn("__place", place).filter(F.col("__value").isNull() | (F.col("__place") + F.coalesce("__running", F.lit(0)) <= limit))
-    return free.orderBy(*queue_order()).limit(slots).drop("__value", "__place", "__running")
+    ranked = queued.filter(F.col("__value").isNotNull()).withColumn("__place", place).filter(F.col("__place") <= limit)
+    free = ranked.join(running, "__value", "left").filter(F.col("__place") + F.coalesce("__running", F.lit(0)) <= limit)
+    every = free.select(*runs.columns).unionByName(queued.filter(F.col("__value").isNull()).select(*runs.columns))
+    return every.orderBy(*queue_order()).limit(slots)
 
 
 @dataclass(frozen=True)
@@ -181,8 +184,8 @@ class TagLimit:
 def dequeue(runs: DataFrame, limits: Iterable[TagLimit], slots: int) -> DataFrame:
     """The general rule, several limits at once: a fold over the queue in order, in one call.
 
-    The queue is cut per code location, each folded on its own; the fold needs only id, order and
-    tags. Columns: code_location_id, run_id, position (from 1).
+    The queue is cut per code location, each folded on its own. A fold sees the live runs of its
+    location (queued and started, not the history), and of these only id, order and tags. Columns: code_location_id, run_id, position (from 1).
     """
     limits = tuple(limits)
 
