@@ -27,6 +27,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 REACH = 2
 #: Pieces and pairs remembered by a worker; beyond it the memory starts anew, which costs time only.
 REMEMBERED = 400_000
+#: Tokens that a task holds before it hands them on.
+OUTPUT_TOKENS = 1_000_000
 
 
 class Vocabulary:
@@ -209,12 +211,15 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
-            flat, offsets = [], [0]
-            for value in batch.column(1).to_pylist():
+            flat, offsets, first = [], [0], 0
+            for i, value in enumerate(batch.column(1).to_pylist(), 1):
                 flat.extend(words.encode(value))
                 offsets.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], [key, "ids"])
+                # Long texts are handed on before a whole batch of them is held.
+                if len(flat) >= OUTPUT_TOKENS or i == batch.num_rows:
+                    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i - first), ids], [key, "ids"])
+                    flat, offsets, first = [], [0], i
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")

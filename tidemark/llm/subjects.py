@@ -41,6 +41,8 @@ SMOOTHING = 0.2
 #: Trust in a person's label against what the text says, while training.
 LABEL_TRUST = 0.9
 MAX_SUBJECTS = 60
+#: Features that a task holds before it hands them on.
+OUTPUT_FEATURES = 2_000_000
 THRESHOLD = 0.5
 
 _SENTENCE = re.compile(r"[\n\r]+|(?<=[.!?;])\s+")
@@ -86,16 +88,19 @@ def encode_documents(documents: DataFrame, keep: Sequence[str], text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known, flat, offsets, lengths, sentences = [], [], [0], [], [0]
-            for value in batch.column(len(keep)).to_pylist():
+            known, flat, offsets, lengths, sentences, first = [], [], [0], [], [0], 0
+            for i, value in enumerate(batch.column(len(keep)).to_pylist(), 1):
                 for found in sentence_features(value) if value else ():
                     flat.extend(found)
                     lengths.append(len(found))
                 offsets.append(len(flat))
                 sentences.append(len(lengths))
                 known.append(bool(value) and any(c.isalnum() for c in value))
-            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int32())) for o, v in ((offsets, flat), (sentences, lengths))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(known), *lists], [*keep, "known", "features", "lengths"])
+                if len(flat) >= OUTPUT_FEATURES or i == batch.num_rows:
+                    lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int32())) for o, v in ((offsets, flat), (sentences, lengths))]
+                    kept_columns = [c.slice(first, i - first) for c in batch.columns[: len(keep)]]
+                    yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(known), *lists], [*keep, "known", "features", "lengths"])
+                    known, flat, offsets, lengths, sentences, first = [], [], [0], [], [0], i
 
     kept = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
     return documents.select(*keep, text).mapInArrow(run, f"{kept}, {ENCODED}")
