@@ -17,7 +17,7 @@ POOLS = "pools AS (SELECT r_name AS pool_key, CASE WHEN r_regionkey = 4 THEN -1
 SLOTS = f"""slots AS (SELECT r_name AS pool_key, s_suppkey AS run_id, 1 + s_suppkey % 3 AS slots_consumed, {AS_OF} - s_suppkey * 37 * {SECOND} AS claimed_at,
  {AS_OF} + CAST(floor(s_acctbal / 10) AS BIGINT) * {SECOND} AS lease_expires_at FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 PENDING = "pending AS (SELECT r_name AS pool_key, c_custkey AS step FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal < 0)"
-USE = f"use AS (SELECT pool_key, sum(slots_consumed) AS claimed FROM slots WHERE lease_expires_at > {AS_OF} GROUP BY 1)"
+USE = f"use AS (SELECT pool_key, CAST(sum(slots_consumed) AS BIGINT) AS claimed FROM slots WHERE lease_expires_at > {AS_OF} GROUP BY 1)"
 INFOS = "infos AS (SELECT p.pool_key, slot_limit, coalesce(claimed, 0) AS claimed, coalesce(n, 0) AS pending FROM pools p LEFT JOIN use USING (pool_key) LEFT JOIN (SELECT pool_key, count(*) AS n FROM pending GROUP BY 1) USING (pool_key))"
 WITH = f"WITH {POOLS}, {SLOTS}, {PENDING}, {USE}, {INFOS}"
 
@@ -85,7 +85,7 @@ def block_reasons(spark: SparkSession, d: str) -> DataFrame:
     return S.claims(needs(spark, d), infos(spark, d)).filter("NOT eligible").select("step_key", "block_reason")
 
 
-@CORE.query("expired_leases", f"{WITH} SELECT pool_key, count(*) AS n, sum(slots_consumed) AS freed FROM slots WHERE lease_expires_at <= {AS_OF} GROUP BY pool_key")
+@CORE.query("expired_leases", f"{WITH} SELECT pool_key, count(*) AS n, CAST(sum(slots_consumed) AS BIGINT) AS freed FROM slots WHERE lease_expires_at <= {AS_OF} GROUP BY pool_key")
 def expired_leases(spark: SparkSession, d: str) -> DataFrame:
     return S.expired_leases(slots(spark, d), F.lit(AS_OF)).groupBy("pool_key").agg(F.count(F.lit(1)).alias("n"), F.sum("slots_consumed").alias("freed"))
 
@@ -182,7 +182,7 @@ def materialization_plan(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.query(
     "retry_delay",
-    """SELECT s_suppkey, round(least(2.0 * power(3.0, greatest(a, 1) - 1), 40) * (0.75 + 0.5 * r), 6) AS exponential, round(1.0 + 2.5 * greatest(a, 1), 6) AS linear, list_extract([1.0, 5.0, 30.0], least(greatest(a, 1), 3)) AS fixed
+    """SELECT s_suppkey, round(least(2.0 * power(3.0, greatest(a, 1) - 1), 40) * (0.75 + 0.5 * r), 6) AS exponential, CAST(1.0 + 2.5 * greatest(a, 1) AS DOUBLE) AS linear, CAST(list_extract([1.0, 5.0, 30.0], least(greatest(a, 1), 3)) AS DOUBLE) AS fixed
 FROM (SELECT s_suppkey, s_suppkey % 6 AS a, (s_suppkey % 10) / 10.0 AS r FROM supplier)""",
 )
 def retry_delay(spark: SparkSession, d: str) -> DataFrame:

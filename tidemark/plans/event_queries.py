@@ -318,7 +318,7 @@ def migration_floor(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.query(
     "condition_tick_summary",
-    """SELECT code_location_id, tick_id, count(*) AS total_evaluated, count(*) FILTER (fired) AS total_fired, sum(eval_duration_us) AS eval_duration_us
+    """SELECT code_location_id, tick_id, count(*) AS total_evaluated, count(*) FILTER (fired) AS total_fired, CAST(sum(eval_duration_us) AS BIGINT) AS eval_duration_us
  FROM (SELECT DISTINCT eval_id, code_location_id, tick_id, fired, eval_duration_us FROM condition_evals) GROUP BY code_location_id, tick_id""",
 )
 def condition_tick_summary(spark: SparkSession, d: str) -> DataFrame:

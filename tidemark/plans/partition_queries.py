@@ -332,7 +332,7 @@ def map_subset(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.query(
     "mapped_read",
-    """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, sum(value) AS total FROM events WHERE strftime(ts, '%Y-%m-%d') IN ('2024-01-04', '2024-01-05', '2024-01-06') GROUP BY 1""",
+    """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE strftime(ts, '%Y-%m-%d') IN ('2024-01-04', '2024-01-05', '2024-01-06') GROUP BY 1""",
 )
 def mapped_read(spark: SparkSession, d: str) -> DataFrame:
     """Load upstream for keys of the downstream: the mapping gives the filter that reaches the scan."""
@@ -342,7 +342,7 @@ def mapped_read(spark: SparkSession, d: str) -> DataFrame:
     ts = F.col("ts")
     window = (ts >= F.lit(min(days)).cast("timestamp_ntz")) & (ts < F.lit(max(days) + timedelta(days=1)).cast("timestamp_ntz"))
     rows = table(spark, d, "events").filter(window & P.format_key(ts, P.FMT_DAY).isin(keys))
-    return rows.groupBy(P.format_key(ts, P.FMT_DAY).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return rows.groupBy(P.format_key(ts, P.FMT_DAY).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 def selections(spark: SparkSession) -> tuple[M.Selection, M.Selection]:

@@ -278,10 +278,10 @@ def product_revenue(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy("p_brand").agg(F.round(F.sum(revenue), 2).alias("revenue"), F.sum("l_quantity").alias("quantity")).orderBy(F.desc("revenue"), "p_brand")
 
 
-@CORE.query("daily_stats", "SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
+@CORE.query("daily_stats", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
 def daily_stats(spark: SparkSession, d: str) -> DataFrame:
     price = F.col("o_totalprice")
-    return orders(spark, d).groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(price), 2).alias("total"), F.round(F.avg(price), 4).alias("mean"))
+    return orders(spark, d).groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(price), 2).alias("total"), F.round(F.avg(price), 4).alias("mean"))
 
 
 @CORE.query("user_order_summary", "SELECT c_custkey, count(o_orderkey) AS n, round(coalesce(sum(o_totalprice), 0), 2) AS total, max(o_orderdate) AS latest FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
@@ -303,11 +303,11 @@ def concentration(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.query(
     "self_dependency_running_total",
-    "SELECT day, n, sum(n) OVER (ORDER BY day) AS running FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)",
+    "SELECT day, n, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS running FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n FROM orders GROUP BY 1)",
 )
 def self_dependency_running_total(spark: SparkSession, d: str) -> DataFrame:
     """A running total by day in two levels, years and days within a year, so no task holds all days."""
-    days = orders(spark, d).groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n")).withColumn("year", F.year("day"))
+    days = orders(spark, d).groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n")).withColumn("year", F.substring("day", 1, 4))
     before = days.groupBy("year").agg(F.sum("n").alias("total"))
     carried = before.select("year", F.coalesce(F.sum("total").over(W.orderBy("year").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("carried"))
     within = F.sum("n").over(W.partitionBy("year").orderBy("day"))
