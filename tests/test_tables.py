@@ -92,6 +92,22 @@ def test_scoped_overwrite_leaves_other_rows(spark, tmp_path):
         replace_where(t.read(), frame(spark, [("z", 1)], schema), F.col("key") == "a")
 
 
+def test_only_folders_with_changed_rows_are_rewritten(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    for k in "abc":
+        t.write(frame(spark, [(k, 1), (k, 2)], "key string, val long"), "error" if k == "a" else "append")
+    first = t.manifest()["parts"]
+    t.write(frame(spark, [("b", 9)], "key string, val long"), "overwrite", predicate=F.col("key") == "b")
+    assert t.manifest()["parts"][:2] == [first[0], first[2]] and rows(t.read()) == [("a", 1), ("a", 2), ("b", 9), ("c", 1), ("c", 2)]
+    t.write(frame(spark, [("b", 7), ("d", 4)], "key string, val long"), "merge", keys=["key"])
+    assert t.manifest()["parts"][:2] == [first[0], first[2]] and rows(t.read()) == [("a", 1), ("a", 2), ("b", 7), ("c", 1), ("c", 2), ("d", 4)]
+    t.write(frame(spark, [("a", 1)], "key string, val long"), "merge", keys=["key"], clauses="replace_delete_unmatched")
+    assert rows(t.read()) == [("a", 1), ("a", 1)] and len(t.manifest()["parts"]) == 1
+    t.write(frame(spark, [("z", 1)], "key string, val long"), "append")
+    t.compact()
+    assert len(t.manifest()["parts"]) == 1 and t.read().count() == 3
+
+
 def test_strict_schema(spark, tmp_path):
     t = VersionedTable(spark, str(tmp_path / "t"))
     t.write(frame(spark, [(1, 1)]))

@@ -94,8 +94,11 @@ class TableHandler(IOHandler):
         self.spark, self.root, self.mode = spark, root.rstrip("/"), mode
 
     def table(self, context: Context) -> VersionedTable:
-        by = context.partition_columns
-        columns = [] if by is None else [by] if isinstance(by, str) else sorted(by.values())
+        """Folders by the columns of plain keys; times are left to the files' statistics, as each would be a folder."""
+        by, kinds = context.partition_columns, context.definitions
+        pairs = {} if by is None else {"": by} if isinstance(by, str) else by
+        kind = lambda d: kinds.get(d) if isinstance(kinds, Mapping) else kinds
+        columns = sorted(c for d, c in pairs.items() if not isinstance(kind(d), TimeWindow))
         return VersionedTable(self.spark, f"{self.root}/{context.settings.root_name or context.asset}", columns)
 
     def load_input(self, spark: SparkSession, context: Context) -> DataFrame:
