@@ -93,7 +93,7 @@ def pred_sparse_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Write modes run against real versioned tables; what is read back is the result.
-HALF, REST = "o_orderkey % 2 = 0", "o_orderkey % 2 = 1"
+HALF, REST = "o_orderpriority < '3'", "o_orderpriority >= '3'"
 
 
 def half(spark: SparkSession, d: str, which: str = HALF) -> DataFrame:
@@ -134,11 +134,11 @@ def replace_where(spark: SparkSession, d: str) -> DataFrame:
     return t.read()
 
 
-@CORE.query("partition_overwrite", f"SELECT {COLS} FROM orders WHERE o_orderstatus NOT IN (SELECT o_orderstatus FROM orders WHERE o_orderkey < 100) UNION ALL SELECT {COLS} FROM orders WHERE o_orderkey < 100")
+@CORE.query("partition_overwrite", f"SELECT {COLS} FROM orders WHERE o_orderstatus <> 'F' OR o_totalprice > 100000")
 def partition_overwrite(spark: SparkSession, d: str) -> DataFrame:
-    """Every partition that the new rows touch is replaced; the ids are the new rows of the case."""
+    """Every partition that the new rows touch is replaced: here that of finished orders, by its costly ones."""
     every = orders(spark, d).select(*ORDER)
-    return G.partition_overwrite(every, every.filter("o_orderkey < 100"), ["o_orderstatus"])
+    return G.partition_overwrite(every, every.filter("o_orderstatus = 'F' AND o_totalprice > 100000"), ["o_orderstatus"])
 
 
 @CORE.query("schema_merge", f"SELECT {COLS}, NULL AS note FROM orders WHERE {HALF} UNION ALL SELECT {COLS}, 'new' FROM orders WHERE {REST}")
@@ -156,8 +156,8 @@ def write_stats(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(stats.version, stats.rows)], "version int, rows long").withColumn("columns", F.lit(len(ORDER)))
 
 
-# MERGE: the target has the orders of two thirds of the keys, the source those of two others, with new prices.
-TARGET, SOURCE = "o_orderkey % 3 <> 2", "o_orderkey % 3 <> 0"
+# MERGE: the target has the orders of higher priorities, the source those of lower ones, with new prices; both have the medium ones.
+TARGET, SOURCE = "o_orderpriority < '4'", "o_orderpriority >= '3'"
 T_SQL = f"t AS (SELECT {COLS} FROM orders WHERE {TARGET})"
 S_SQL = f"s AS (SELECT o_orderkey, o_custkey, 'S' AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE {SOURCE})"
 BOTH = f"WITH {T_SQL}, {S_SQL}"
