@@ -13,7 +13,6 @@ from tidemark.operators.history import diff_snapshots, history_from_snapshots, v
 from tidemark.operators.references import orphan_counts, orphan_references
 from tidemark.operators.tree_aggregate import heavy_keys, key_activity, tree_aggregate
 
-EVENTS = "event_id long, code_location_id string, event_type string, asset_key string, run_id string, timestamp long, metadata array<struct<k:string,v:string>>, data_version string, code_version string, ingested_at timestamp_ntz"
 SLOW = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 
 
