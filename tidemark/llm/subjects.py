@@ -41,14 +41,16 @@ SMOOTHING = 0.2
 #: Trust in a person's label against what the text says, while training.
 LABEL_TRUST = 0.9
 MAX_SUBJECTS = 60
-#: Features that a task holds before it hands them on.
-OUTPUT_FEATURES = 2_000_000
+#: Words that a task holds before it hands them on.
+OUTPUT_TOKENS = 1_000_000
 THRESHOLD = 0.5
 
-_SENTENCE = re.compile(r"[\n\r]+|(?<=[.!?;])\s+")
-_WORD = re.compile(r"[^\W\d]+")
+# Words, and the ends of sentences: line breaks, and full stops and the like before white space.
+_TOKEN = re.compile(r"[^\W\d]+|[\n\r]|[.!?;](?=\s)")
 _CACHE: dict[str, int] = {}
 _CACHED = 500_000
+_END, _NO_WORD = -1, -2
+_ENDS = frozenset("\n\r.!?;")
 
 
 def least_evidence(subjects: int) -> float:
@@ -56,28 +58,38 @@ def least_evidence(subjects: int) -> float:
     return float(np.log(LEAST_RATIO * max(subjects - 1, 1)))
 
 
-def _bucket(feature: str) -> int:
-    found = _CACHE.get(feature)
-    if found is None:
-        if len(_CACHE) >= _CACHED:
-            _CACHE.clear()
-        found = _CACHE[feature] = zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
-    return found
-
-
-def sentence_features(text: str) -> Iterator[list[int]]:
-    """The buckets of the words and word pairs of each sentence; names with _ and digits are no words."""
-    for sentence in _SENTENCE.split(text):
-        found, before = [], ""
-        for word in _WORD.findall(sentence.lower()):
-            if "_" in word:
-                continue
-            found.append(_bucket(word))
-            if before:
-                found.append(_bucket(f"{before} {word}"))
-            before = word
-        if found:
-            yield found
+def _code(token: str) -> int:
+    """31 bits for a word; names with _ are no words."""
+    if len(_CACHE) >= _CACHED:
+        _CACHE.clear()
+    kind = _END if token in _ENDS else _NO_WORD if "_" in token else zlib.crc32(token.encode("utf-8", "surrogatepass")) >> 1
+    _CACHE[token] = kind
+    return kind
+
+
+def token_codes(text: str) -> list[int]:
+    """The codes of the words of a text in order, with an end after each sentence."""
+    get = _CACHE.get
+    codes = [_code(t) if (c := get(t)) is None else c for t in _TOKEN.findall(text.lower())]
+    codes.append(_END)
+    return codes
+
+
+def sentence_features(codes: np.ndarray, document: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of words and word pairs sentence by sentence, their number in each sentence, and the
+    number of features and of sentences of each document."""
+    sentence = np.cumsum(codes == _END) - (codes == _END)
+    words = codes >= 0
+    code, sentence, document = codes[words].astype(np.uint64), sentence[words], document[words]
+    pair = np.flatnonzero(sentence[1:] == sentence[:-1]) if len(code) else np.zeros(0, np.int64)
+    mixed = (code[pair] * np.uint64(0x9E3779B97F4A7C15) + code[pair + 1] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
+    bucket = np.concatenate([code % np.uint64(BUCKETS), mixed % np.uint64(BUCKETS)]).astype(np.int32)
+    of = np.concatenate([sentence, sentence[pair]])
+    order = np.argsort(of, kind="stable")
+    lengths = np.bincount(of) if len(of) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]]) if len(sentence) else np.zeros(0, np.int64)
+    per_document = np.bincount(document, minlength=documents) + np.bincount(document[pair], minlength=documents)
+    return bucket[order], lengths[lengths > 0].astype(np.int32), per_document, np.bincount(document[first], minlength=documents)
 
 
 ENCODED = "known boolean, features array<int>, lengths array<int>"
@@ -88,19 +100,21 @@ def encode_documents(documents: DataFrame, keep: Sequence[str], text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known, flat, offsets, lengths, sentences, first = [], [], [0], [], [0], 0
+            known, flat, sizes, first = [], [], [], 0
             for i, value in enumerate(batch.column(len(keep)).to_pylist(), 1):
-                for found in sentence_features(value) if value else ():
-                    flat.extend(found)
-                    lengths.append(len(found))
-                offsets.append(len(flat))
-                sentences.append(len(lengths))
+                before = len(flat)
+                if value:
+                    flat.extend(token_codes(value))
+                sizes.append(len(flat) - before)
                 known.append(bool(value) and any(c.isalnum() for c in value))
-                if len(flat) >= OUTPUT_FEATURES or i == batch.num_rows:
-                    lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int32())) for o, v in ((offsets, flat), (sentences, lengths))]
+                if len(flat) >= OUTPUT_TOKENS or i == batch.num_rows:
+                    document = np.repeat(np.arange(len(sizes)), sizes)
+                    features, lengths, per_document, sentences = sentence_features(np.array(flat, dtype=np.int64), document, len(sizes))
+                    offsets = [pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)) for n in (per_document, sentences)]
+                    lists = [pa.ListArray.from_arrays(o, pa.array(v)) for o, v in zip(offsets, (features, lengths), strict=True)]
                     kept_columns = [c.slice(first, i - first) for c in batch.columns[: len(keep)]]
                     yield pa.RecordBatch.from_arrays([*kept_columns, pa.array(known), *lists], [*keep, "known", "features", "lengths"])
-                    known, flat, offsets, lengths, sentences, first = [], [], [0], [], [0], i
+                    known, flat, sizes, first = [], [], [], i
 
     kept = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
     return documents.select(*keep, text).mapInArrow(run, f"{kept}, {ENCODED}")
