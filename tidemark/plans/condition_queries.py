@@ -16,15 +16,20 @@ from tidemark.plans.registry import CORE
 from tidemark.sources.tables import table
 
 IDS = ["key", "code_location_id"]
-DAY0, DAYS = 20_045, 90  # 2024-11-18 as days since 1970, and the ticks replayed: one at the end of each day
+DAY0, DAYS = 20_045, 90  # 2024-11-18 as days since 1970, which is tick 0, and the ticks of the SQL: one at the end of each day
 DAY_NS = 86_400_000_000_000
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
-    """State of each asset at the end of each day: running maxima over the days, one row per asset and day."""
-    grid = table(spark, d, "assets").select(F.col("asset_key").alias("key"), "code_location_id", "code_version", F.explode(F.sequence(F.lit(0), F.lit(DAYS - 1))).alias("tick"))
+    """State of each asset at the end of each day: running maxima over the days, one row per asset and day.
+
+    The days are those from the first to the last event of the log.
+    """
     kind, at = F.col("event_type"), F.col("timestamp")
     day = (F.floor(at / F.lit(DAY_NS)) - DAY0).cast("int")
+    span = table(spark, d, "asset_events").agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    ticks = F.explode(F.sequence("first", "last")).alias("tick")
+    grid = table(spark, d, "assets").crossJoin(F.broadcast(span)).select(F.col("asset_key").alias("key"), "code_location_id", "code_version", ticks)
     events = table(spark, d, "asset_events").filter(F.col("asset_key").isNotNull() & kind.isin("Materialization", "StepStart", "StepSuccess", "StepFailure"))
     daily = events.groupBy(F.col("asset_key").alias("key"), "code_location_id", day.alias("tick")).agg(
         F.max(F.when(kind == "Materialization", F.struct("timestamp", "event_id", "data_version", "run_id"))).alias("m"),
