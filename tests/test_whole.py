@@ -33,3 +33,10 @@ def test_conditions_are_replayed_from_the_first_to_the_last_day(spark, late):
     assert run("newly_true") == [("b", 95)]
     assert run("any_deps_match") == [] and run("code_version_changed") == [("b", -1)]
     assert sorted(t for k, t in run("cond_missing") if k == "b") == list(range(-1, 96))
+
+
+def test_daily_partitions_run_up_to_the_latest_event(spark, late):
+    missing = rows(CORE.queries["missing_partitions"](spark, late), "asset_key", "partition")
+    assert ("b", "2025-02-21") in missing and ("b", "2025-02-22") not in missing
+    assert ("a", "2025-02-19") not in missing and ("b", "2025-02-19") in missing
+    assert rows(CORE.queries["partition_heatmap"](spark, late), "asset_key", "total", "materialized", "failed", "missing") == [("a", 96, 1, 0, 95), ("b", 96, 0, 1, 95)]

@@ -12,6 +12,9 @@ from tidemark.plans.registry import CORE
 from tidemark.sources.tables import table
 
 
+DAY_NS = 86_400_000_000_000
+
+
 def log(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "asset_events")
 
@@ -68,9 +71,16 @@ def failed_partitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def universe(spark: SparkSession, d: str) -> DataFrame:
-    """Each asset with every day of its daily partitions; built per row, so no join is needed."""
-    days = F.sequence(F.to_date(F.lit("2024-11-18")), F.to_date(F.lit("2025-02-15")))
-    return table(spark, d, "assets").select(*E.ASSET, F.explode(F.transform(days, lambda x: F.date_format(x, "yyyy-MM-dd"))).alias("partition"))
+    """Each asset with every day of its daily partitions.
+
+    The grid has no end of its own, so it ends with the last window that has begun: that of the
+    latest event or run. A key of a later day isn't a partition yet.
+    """
+    latest = log(spark, d).select("timestamp").unionByName(table(spark, d, "runs").select(F.col("start_time").alias("timestamp"))).agg(F.max("timestamp").alias("now"))
+    first, last = F.to_date(F.lit("2024-11-18")), F.date_from_unix_date(F.floor(F.col("now") / F.lit(DAY_NS)).cast("int"))
+    days = F.when(first <= last, F.sequence(first, last))
+    assets = table(spark, d, "assets").select(*E.ASSET).crossJoin(F.broadcast(latest))
+    return assets.select(*E.ASSET, F.explode(F.transform(days, lambda x: F.date_format(x, "yyyy-MM-dd"))).alias("partition"))
 
 
 UNIVERSE = f"""u AS (SELECT code_location_id, asset_key, strftime(t.x, '%Y-%m-%d') AS p FROM assets,
