@@ -5,9 +5,9 @@ agree up to their level, token sequences are clustered by their longest common s
 sequence is the constant part, the gaps are variable slots. Each task mines its own lines; the
 templates of the tasks are merged in rounds by the same rule. What all message templates of such a
 cluster share is the layout of a program's lines; its slots are classified by type as time, level,
-component, other or message. Lines made of keys and values (JSON objects, key=value) are clustered
-by their keys, and a key is classified by the type of its values. Entries are then cut and read by
-the layouts.
+component, other or message. Lines that don't follow it are split again until each follows a layout.
+Lines made of keys and values (JSON objects, key=value) are grouped by their set of keys, and a key
+is classified by the type of its values there. Entries are then cut and read by the layouts.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,8 +36,12 @@ OPENING_TOKENS = 16
 MINED_TOKENS = 12
 #: Message templates of one cluster; once there are so many, a line joins the most similar one.
 CLUSTER_TEMPLATES = 64
-#: Share of all candidate lines that a cluster needs to be a program's layout and not chance.
+#: Lines that a cluster needs to be a program's layout and not chance: a share of all candidate lines, but no
+#: more than ``MIN_LINES``. With fewer, from two on, it needs a time and two levels.
 MIN_SHARE = 0.0002
+MIN_LINES = 20
+#: Message templates that show the lines with a component of their own to be a program's.
+PROGRAM_TEMPLATES = 3
 #: Share of a cluster's lines that must agree with its layout.
 AGREEMENT = 0.9
 FAN_IN = 16
@@ -53,6 +59,7 @@ _TIME = re.compile(rf"(?:{TIME})")
 _PLAIN_WORD = re.compile(r"[^\s\"{}\[\],;=]+")
 T, L, LETTER, G, N, V, W = "<T>", "<L>", "<l>", "<G>", "<N>", "<V>", "<W>"
 VARIABLE = (GAP, V)
+LEVEL_BIT = {level: i for i, level in enumerate(sorted(set(LEVEL_OF.values())))}
 
 
 def time_form(text: str) -> str:
@@ -109,10 +116,10 @@ class Cluster:
     """Message templates of the lines that agree up to their level, each with its number of lines."""
 
     templates: list[list] = field(default_factory=list)  # [tokens, lines]
-    levels: int = 0
+    masks: list[int] = field(default_factory=list)  # the levels of each template's lines, as bits
     known: dict[tuple[str, ...], int] = field(default_factory=dict)
 
-    def add(self, tokens: tuple[str, ...], lines: int = 1) -> None:
+    def add(self, tokens: tuple[str, ...], lines: int = 1, levels: int = 0) -> None:
         at = self.known.get(tokens)
         if at is None:
             constants = sum(x not in VARIABLE for x in tokens)
@@ -124,9 +131,11 @@ class Cluster:
             else:
                 at = len(self.templates)
                 self.templates.append([list(tokens), 0])
+                self.masks.append(0)
             if len(self.known) < 100_000:
                 self.known[tokens] = at
         self.templates[at][1] += lines
+        self.masks[at] |= levels
 
 
 def tokenise(line: str) -> tuple[tuple[str, ...], tuple[str, ...], str] | None:
@@ -168,6 +177,27 @@ def _after(line: str, start: int) -> list[str]:
     return tokens
 
 
+def is_slot(token: str) -> bool:
+    """A word or value, as against a mark, a number or a time."""
+    return token in VARIABLE or token[0].isalnum() or token[0] == "_"
+
+
+def head_of(tokens: Sequence[str]) -> tuple[str, ...]:
+    """The marks right after the level with at most one word among them; templates of two such forms aren't merged."""
+    head, end = [], 0
+    for token in tokens:
+        if is_slot(token):
+            if GAP in head:
+                break
+            head.append(GAP)
+        elif token in (N, T):
+            break
+        else:
+            head.append(token)
+            end = len(head)
+    return tuple(head[:end])
+
+
 def pairs_of(line: str) -> tuple[str, list[tuple[str, str | None]]] | None:
     """(syntax, top-level keys with the text of their scalar values) of a JSON or key=value line."""
     if line.startswith("{"):
@@ -211,8 +241,9 @@ def lines_of(text: str) -> list[str]:
 
 def mine_texts(texts: Iterator[str]) -> pd.DataFrame:
     """Templates of the lines of some texts: syntax, cluster, template, lines, levels, candidates."""
-    clusters: dict[tuple[str, ...], Cluster] = defaultdict(Cluster)
+    clusters: dict[tuple, Cluster] = defaultdict(Cluster)
     types: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    sets: dict[tuple[str, tuple[str, ...]], Counter] = defaultdict(Counter)
     total = 0
     for text in texts:
         for raw in lines_of(text):
@@ -221,15 +252,17 @@ def mine_texts(texts: Iterator[str]) -> pd.DataFrame:
                 continue
             if keyed := pairs_of(line):
                 total += 1
+                found = sets[keyed[0], tuple(sorted({k for k, _ in keyed[1]}))]
                 for key, value in keyed[1]:
-                    types[keyed[0], key][value_type(value)] += 1
+                    kind = value_type(value)
+                    types[keyed[0], key][kind] += 1
+                    found[key, kind] += 1
             elif cut := tokenise(line):
                 total += 1
-                cluster = clusters[cut[0]]
-                cluster.levels |= 1 << sorted(set(LEVEL_OF.values())).index(cut[2])
-                cluster.add(cut[1])
-    rows = [("plain", json.dumps(key), json.dumps(t), n, c.levels) for key, c in clusters.items() for t, n in c.templates]
+                clusters[cut[0], head_of(cut[1])].add(cut[1], 1, 1 << LEVEL_BIT[cut[2]])
+    rows = [("plain", json.dumps(key), json.dumps(t), n, m) for key, c in clusters.items() for (t, n), m in zip(c.templates, c.masks, strict=True)]
     rows += [(syntax, key, kind, n, 0) for (syntax, key), kinds in types.items() for kind, n in kinds.items()]
+    rows += [(f"{syntax} set", json.dumps(keys), json.dumps(pair), n, 0) for (syntax, keys), kinds in sets.items() for pair, n in kinds.items()]
     rows.append(("total", "", "", total, 0))
     return pd.DataFrame(rows, columns=["syntax", "cluster", "template", "lines", "levels"])
 
@@ -241,12 +274,9 @@ def merge_templates(rows: pd.DataFrame) -> pd.DataFrame:
     """Merge the templates of one cluster that several tasks found."""
     first = rows.iloc[0]
     merged = Cluster()
-    for template, lines in rows.sort_values(["lines", "template"], ascending=[False, True])[["template", "lines"]].itertuples(index=False):
-        merged.add(tuple(json.loads(template)), lines)
-    levels = 0
-    for x in rows["levels"]:
-        levels |= int(x)
-    out = [(first["syntax"], first["cluster"], json.dumps(t), n, levels) for t, n in merged.templates]
+    for template, lines, levels in rows.sort_values(["lines", "template"], ascending=[False, True])[["template", "lines", "levels"]].itertuples(index=False):
+        merged.add(tuple(json.loads(template)), lines, levels)
+    out = [(first["syntax"], first["cluster"], json.dumps(t), n, m) for (t, n), m in zip(merged.templates, merged.masks, strict=True)]
     return pd.DataFrame(out, columns=["syntax", "cluster", "template", "lines", "levels"])
 
 
@@ -284,6 +314,7 @@ class Layout:
 
     pattern: str
     lines: int
+    tokens: int
 
 
 @dataclass
@@ -291,10 +322,35 @@ class Layouts:
     plain: list[Layout]
     #: By syntax: the keys that hold the level, the time, the component and the message, most used first.
     keyed: dict[str, dict[str, list[str]]]
+    #: The same by syntax and set of keys, for the sets that occur often enough.
+    sets: dict[tuple[str, frozenset[str]], dict[str, list[str]]] = field(default_factory=dict)
+
 
+def follows(template: Sequence[str], header: Sequence[str]) -> bool:
+    return len(template) >= len(header) and all(h == GAP or h == t for h, t in zip(header, template, strict=False))
 
-def layout_of(opening: Sequence[str], templates: Sequence[tuple[list[str], int]], levels: int) -> Layout | None:
-    """The layout that a cluster's templates share, or None if they share none with a level and more.
+
+def layouts_of(opening: Sequence[str], heads: dict[tuple[str, ...], list[tuple[list[str], int, int]]], least: float) -> list[Layout]:
+    """The layouts of the lines with one opening; ``heads`` has their templates, lines and levels.
+
+    Lines with a component of their own right after the level are a program's if their messages vary;
+    all others are taken together. Of each, the lines that don't follow the layout found are split again.
+    """
+    total = sum(n for templates in heads.values() for _, n, _ in templates)
+    apart = [h for h, found in heads.items() if GAP in h and len(found) >= PROGRAM_TEMPLATES and least <= sum(n for _, n, _ in found) < AGREEMENT * total]
+    groups = [heads[h] for h in apart] + [[t for h, found in heads.items() if h not in apart for t in found]]
+    layouts = []
+    for rest in groups:
+        while rest:
+            header = header_of([(t, n) for t, n, _ in rest])
+            here = [t for t in rest if follows(t[0], header)]
+            layouts.append(layout_of(opening, header, here, least))
+            rest = [t for t in rest if not follows(t[0], header)]
+    return [x for x in layouts if x]
+
+
+def header_of(templates: Sequence[tuple[list[str], int]]) -> tuple[str, ...]:
+    """What most of the templates begin with, up to a mark.
 
     The longest common subsequence of the heaviest template with each other one is a candidate, as
     far as it is aligned (one token in each slot); the longest that ``AGREEMENT`` of the lines
@@ -316,9 +372,6 @@ def layout_of(opening: Sequence[str], templates: Sequence[tuple[list[str], int]]
                 break
         return found
 
-    def follows(template: Sequence[str], header: Sequence[str]) -> bool:
-        return len(template) >= len(header) and all(h == GAP or h == t for h, t in zip(header, template, strict=False))
-
     def marks_only(header: list[str]) -> list[str]:
         """Cut before the first word or value that is the same in all, and after the last mark."""
         for i, token in enumerate(header):
@@ -334,12 +387,18 @@ def layout_of(opening: Sequence[str], templates: Sequence[tuple[list[str], int]]
     # Shorter forms of a candidate hold wherever it does.
     candidates |= {tuple(marks_only(list(c[:k]))) for c in candidates for k in range(len(c))}
     support = {c: sum(n for t, n in templates if follows(t, c)) for c in candidates}
-    header = max((c for c in candidates if support[c] >= AGREEMENT * total), key=lambda c: (len(c), c))
+    return max((c for c in candidates if support[c] >= AGREEMENT * total), key=lambda c: (len(c), c))
+
+
+def layout_of(opening: Sequence[str], header: Sequence[str], templates: Sequence[tuple[list[str], int, int]], least: float) -> Layout | None:
+    """The layout of an opening and what follows the level, or None if it has no level and more."""
+    total = sum(n for _, n, _ in templates)
+    levels = reduce(or_, (m for _, _, m in templates), 0)
     tokens = [*opening, *(GAP if x == V else x for x in header)]
     mark = next(i for i, x in enumerate(tokens) if x in (L, LETTER, G))
     times = sum(map(is_time, tokens))
     timed = times == 1
-    if (not timed and bin(levels).count("1") < 2) or times > 1:
+    if ((not timed or total < least) and levels.bit_count() < 2) or times > 1 or total < (2 if timed else least):
         return None
     component = component_slot(tokens, mark)
     if not timed and component is None:
@@ -362,7 +421,7 @@ def layout_of(opening: Sequence[str], templates: Sequence[tuple[list[str], int]]
         else:
             part = re.escape(token)
         parts.append(part)
-    return Layout(r"[ \t]*".join(parts), total)
+    return Layout(r"[ \t]*".join(parts), total, len(tokens))
 
 
 def component_slot(tokens: Sequence[str], level: int) -> int | None:
@@ -388,30 +447,54 @@ def component_slot(tokens: Sequence[str], level: int) -> int | None:
 
 
 def find_layouts(templates: DataFrame, min_share: float = MIN_SHARE) -> Layouts:
-    """The layouts of mined templates: those of clusters that hold at least ``min_share`` of the lines.
+    """The layouts of mined templates.
 
-    At most 1 / min_share clusters of at most ``CLUSTER_TEMPLATES`` templates come to the driver.
+    What comes to the driver are the templates of clusters of two lines or more, at most
+    ``CLUSTER_TEMPLATES`` each, and the counts of keys and of sets of keys.
     """
     templates = cut_lineage(templates)
     total = templates.filter("syntax = 'total'").agg(F.sum("lines")).first()[0] or 0
-    least = max(2, total * min_share)
-    size = templates.filter("syntax <> 'total'").groupBy("syntax", "cluster").agg(F.sum("lines").alias("__n")).filter(F.col("__n") >= least)
+    least = max(2, min(total * min_share, MIN_LINES))
+    size = templates.filter("syntax <> 'total'").groupBy("syntax", "cluster").agg(F.sum("lines").alias("__n")).filter(F.col("__n") >= 2)
     rows = templates.join(size, ["syntax", "cluster"]).collect()
-    clusters, types = defaultdict(list), defaultdict(Counter)
+    clusters: dict[tuple, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
+    types: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    sets: dict[tuple[str, frozenset[str]], dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
     for r in rows:
         if r["syntax"] == "plain":
-            clusters[r["cluster"]].append(r)
+            opening, head = json.loads(r["cluster"])
+            clusters[tuple(opening)][tuple(head)].append((json.loads(r["template"]), r["lines"], r["levels"]))
+        elif r["syntax"].endswith(" set"):
+            key, kind = json.loads(r["template"])
+            sets[r["syntax"].removesuffix(" set"), frozenset(json.loads(r["cluster"]))][key][kind] += r["lines"]
         else:
             types[r["syntax"], r["cluster"]][r["template"]] += r["lines"]
-    plain = [layout_of(json.loads(c), [(json.loads(r["template"]), r["lines"]) for r in found], found[0]["levels"]) for c, found in clusters.items()]
+    plain = [layout for opening, heads in clusters.items() for layout in layouts_of(opening, heads, least)]
     keyed: dict[str, dict[str, list[str]]] = {}
     for (syntax, key), kinds in sorted(types.items(), key=lambda x: (-sum(x[1].values()), x[0])):
-        n = sum(kinds.values())
-        kind = next((k for k in ("level", "time", "word") if kinds[k] >= AGREEMENT * n), "text" if kinds["text"] > n / 2 else "other")
-        if kind == "word" and key.lower().lstrip("@") in NOT_COMPONENT:
-            kind = "other"
-        keyed.setdefault(syntax, {}).setdefault(kind, []).append(key)
-    return Layouts(sorted((x for x in plain if x), key=lambda x: (-x.lines, x.pattern)), keyed)
+        keyed.setdefault(syntax, {}).setdefault(key_kind(key, kinds), []).append(key)
+    often = {k: found for k, found in sets.items() if max(sum(c.values()) for c in found.values()) >= MIN_LINES}
+    own = {k: set_kinds(found, keyed.get(k[0], {})) for k, found in often.items()}
+    return Layouts(sorted(plain, key=lambda x: (-x.tokens, -x.lines, x.pattern)), keyed, own)
+
+
+def key_kind(key: str, kinds: Counter) -> str:
+    n = sum(kinds.values())
+    kind = next((k for k in ("level", "time", "word") if kinds[k] >= AGREEMENT * n), "text" if kinds["text"] > n / 2 else "other")
+    return "other" if kind == "word" and key.lower().lstrip("@") in NOT_COMPONENT else kind
+
+
+def set_kinds(counts: dict[str, Counter], everywhere: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The keys of one set by kind; those that are of the kind in all lines of the syntax come first."""
+    rank = {key: (kind, i) for kind, keys in everywhere.items() for i, key in enumerate(keys)}
+    kinds = {key: key_kind(key, found) for key, found in counts.items()}
+    short = [k for k, kind in kinds.items() if kind == "word" and rank.get(k, ("",))[0] == "text"]
+    if "text" not in kinds.values() and sum(kind == "word" for kind in kinds.values()) > len(short):
+        kinds |= dict.fromkeys(short, "text")  # messages of one word each
+    out: dict[str, list[str]] = {}
+    for key, kind in sorted(kinds.items(), key=lambda x: (rank.get(x[0], ("",))[0] != x[1], rank.get(x[0], ("", len(rank)))[1], x[0])):
+        out.setdefault(kind, []).append(key)
+    return out
 
 
 class Reader:
@@ -419,7 +502,7 @@ class Reader:
 
     def __init__(self, layouts: Layouts) -> None:
         self.plain = [re.compile(x.pattern) for x in layouts.plain]
-        self.keyed = layouts.keyed
+        self.keyed, self.sets = layouts.keyed, layouts.sets
 
     def opening(self, line: str, near_ns: int | None) -> tuple[int, str, str, str] | None:
         """(time or -1, level, component, message) if an entry begins at the line."""
@@ -435,9 +518,10 @@ class Reader:
         return None
 
     def _of_pairs(self, syntax: str, pairs: list[tuple[str, str | None]], near_ns: int | None) -> tuple[int, str, str, str] | None:
-        kinds, values = self.keyed.get(syntax, {}), {}
+        values: dict[str, str | None] = {}
         for key, value in pairs:
             values.setdefault(key, value)
+        kinds = self.sets.get((syntax, frozenset(values)), self.keyed.get(syntax, {}))
 
         def first(kind: str) -> str | None:
             return next((values[k] for k in kinds.get(kind, ()) if values.get(k)), None)
