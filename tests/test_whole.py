@@ -1,8 +1,11 @@
 """Queries take the whole of their input, also what lies outside the test data's usual span or shape."""
 
+import random
+
 import pytest
 from conftest import rows
 
+from tidemark.operators import runs as R
 from tidemark.plans import load
 
 CORE = load()
@@ -40,3 +43,22 @@ def test_daily_partitions_run_up_to_the_latest_event(spark, late):
     assert ("b", "2025-02-21") in missing and ("b", "2025-02-22") not in missing
     assert ("a", "2025-02-19") not in missing and ("b", "2025-02-19") in missing
     assert rows(CORE.queries["partition_heatmap"](spark, late), "asset_key", "total", "materialized", "failed", "missing") == [("a", 96, 1, 0, 95), ("b", 96, 0, 1, 95)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tag_limit_counts_every_value_of_a_run(spark, seed):
+    r = random.Random(seed)
+    data = [(f"r{i:02}", r.choice("xy"), r.choice(("Queued", "Queued", "Started", "Success")), r.randint(0, 2), r.randint(0, 50), [("k", r.choice("abcd")) for _ in range(r.randint(0, 3))] + [("o", "a")]) for i in range(60)]
+    runs = spark.createDataFrame(data, "run_id string, code_location_id string, status string, priority int, start_time long, tags array<struct<k:string,v:string>>")
+    values = lambda run: {v for k, v in run[5] if k == "k"}
+    counts = dict.fromkeys("abcd", 0)
+    for run in data:
+        for v in values(run) if run[2] == "Started" else ():
+            counts[v] += 1
+    limit, want = max(counts.values()) + 1, []
+    for run in sorted((x for x in data if x[2] == "Queued"), key=lambda x: (-x[3], x[4], x[0])):
+        if len(want) < 15 and all(counts[v] < limit for v in values(run)):
+            want.append(run[0])
+            for v in values(run):
+                counts[v] += 1
+    assert [x.run_id for x in R.dequeue_tag_limit(runs, "k", limit, 15).collect()] == want

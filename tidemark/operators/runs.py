@@ -158,9 +158,15 @@ def dequeue_global(runs: DataFrame, limit: int) -> DataFrame:
 def dequeue_tag_limit(runs: DataFrame, key: str, limit: int, slots: int) -> DataFrame:
     """The next runs under one limit per distinct value of a tag key and a number of free slots.
 
-    Exact for runs with at most one value of the key: rank within the value decides who is blocked,
-    and blocked runs use no slot. Untagged runs are bound by the slots only.
+    A run counts for each of its values and waits if any of them is at the limit; blocked runs use no
+    slot, and untagged runs are bound by the slots only. Where no live run has several values, the
+    rank within the value decides who is blocked; else the queue is folded in order.
     """
+    live = runs.filter(F.col("status").isin("Queued", "Started"))
+    several = F.size(F.array_distinct(F.transform(F.filter("tags", lambda t: t["k"] == key), lambda t: t["v"]))) > 1
+    if not live.filter(several).isEmpty():
+        started = dequeue(live.withColumn("code_location_id", F.lit("")), [TagLimit(key, limit, per_value=True)], slots)
+        return runs.join(started.select("run_id"), "run_id", "left_semi").select(*runs.columns).orderBy(*queue_order())
     value = F.try_element_at(F.filter("tags", lambda t: t["k"] == key), F.lit(1))["v"]
     tagged = runs.withColumn("__value", value)
     running = tagged.filter((F.col("status") == "Started") & F.col("__value").isNotNull()).groupBy("__value").agg(F.count(F.lit(1)).alias("__running"))
