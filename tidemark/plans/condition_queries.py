@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.cron import tick_passed
 from tidemark.operators import conditions as C
 from tidemark.operators import runs as R
 from tidemark.operators.graph import topological_levels
+from tidemark.plans.graph_queries import ORDERED
+from tidemark.plans.graph_queries import PAIRS as DAG_PAIRS
 from tidemark.plans.graph_queries import edges as dag_edges
 from tidemark.plans.graph_queries import nodes as dag_nodes
 from tidemark.plans.registry import CORE
+from tidemark.session import cut_lineage
 from tidemark.sources.tables import table
 
 IDS = ["key", "code_location_id"]
-DAY0, DAYS = 20_045, 90  # 2024-11-18 as days since 1970, which is tick 0, and the ticks of the SQL: one at the end of each day
+DAY0 = 20_045  # 2024-11-18 as days since 1970, which is tick 0; there is a tick at the end of each day
 DAY_NS = 86_400_000_000_000
 
 
@@ -32,7 +34,7 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     grid = table(spark, d, "assets").crossJoin(F.broadcast(span)).select(F.col("asset_key").alias("key"), "code_location_id", "code_version", ticks)
     events = table(spark, d, "asset_events").filter(F.col("asset_key").isNotNull() & kind.isin("Materialization", "StepStart", "StepSuccess", "StepFailure"))
     daily = events.groupBy(F.col("asset_key").alias("key"), "code_location_id", day.alias("tick")).agg(
-        F.max(F.when(kind == "Materialization", F.struct("timestamp", "event_id", "data_version", "run_id"))).alias("m"),
+        F.max(F.when(kind == "Materialization", F.struct("timestamp", "event_id", "data_version", F.col("code_version").alias("made_with"), "run_id"))).alias("m"),
         F.max(F.when(kind == "StepFailure", at)).alias("f"),
         F.max(F.when(kind == "StepStart", at)).alias("s"),
         F.max(F.when(kind.isin("StepSuccess", "StepFailure"), at)).alias("e"),
@@ -42,7 +44,7 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     state = rows.select(*IDS, "tick", "code_version", *(F.max(c).over(so_far).alias(c) for c in ("m", "f", "s", "e")), F.max("asked").over(so_far).alias("handled_tick"))
     return state.select(
         *IDS, F.col("tick").cast("long").alias("tick"), "code_version",
-        F.col("m.run_id").alias("last_run_id"), F.col("m.timestamp").alias("last_timestamp"), F.col("m.data_version").alias("data_version"), F.col("f").alias("failed_timestamp"),
+        F.col("m.run_id").alias("last_run_id"), F.col("m.timestamp").alias("last_timestamp"), F.col("m.data_version").alias("data_version"), F.col("m.made_with").alias("made_with_code_version"), F.col("f").alias("failed_timestamp"),
         F.coalesce(F.col("f").isNotNull() & (F.col("m").isNull() | (F.col("m.timestamp") < F.col("f"))), F.lit(False)).alias("failed"),
         F.coalesce(F.col("s").isNotNull() & (F.col("e").isNull() | (F.col("e") < F.col("s"))), F.lit(False)).alias("in_progress"),
         F.col("handled_tick").cast("long").alias("handled_tick"),
@@ -50,10 +52,10 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-FACTS = f"""g AS (SELECT asset_key AS key, code_location_id, code_version, CAST(tick AS BIGINT) AS tick FROM assets, range({DAYS}) r(tick)),
+FACTS = f"""days AS (SELECT unnest(range(min(timestamp // {DAY_NS}) - {DAY0}, max(timestamp // {DAY_NS}) - {DAY0} + 1)) AS tick FROM asset_events),
+g AS (SELECT asset_key AS key, code_location_id, code_version, CAST(tick AS BIGINT) AS tick FROM assets, days),
 v AS (SELECT asset_key AS key, code_location_id, timestamp // {DAY_NS} - {DAY0} AS tick, max(timestamp) FILTER (event_type = 'Materialization') AS m,
- arg_max(data_version, (timestamp, event_id)) FILTER (event_type = 'Materialization' AND data_version IS NOT NULL) AS dvx,
- max((timestamp, event_id, coalesce(data_version, ''))) FILTER (event_type = 'Materialization') AS ms,
+ max((timestamp, event_id, coalesce(data_version, ''), coalesce(code_version, ''))) FILTER (event_type = 'Materialization') AS ms,
  max(timestamp) FILTER (event_type = 'StepFailure') AS f, max(timestamp) FILTER (event_type = 'StepStart') AS s, max(timestamp) FILTER (event_type IN ('StepSuccess', 'StepFailure')) AS e
  FROM asset_events WHERE asset_key IS NOT NULL GROUP BY ALL),
 r AS (SELECT g.*, max(m) OVER w AS m, max(f) OVER w AS f, max(s) OVER w AS s, max(e) OVER w AS e, max(CASE WHEN s IS NOT NULL THEN tick END) OVER w AS h, max(ms) OVER w AS ms
@@ -64,12 +66,12 @@ facts AS (SELECT *, m IS NULL AS missing, coalesce(f IS NOT NULL AND (m IS NULL
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Dependencies as the assets' last runs consumed them."""
+    """Dependencies as the assets' last runs consumed them; an asset's own previous output is none."""
     rows = table(spark, d, "assets").select("code_location_id", F.col("asset_key").alias("from_key"), F.explode("last_input_data_versions").alias("p"))
-    return rows.select("code_location_id", "from_key", F.col("p.k").alias("to_key")).distinct()
+    return rows.select("code_location_id", "from_key", F.col("p.k").alias("to_key")).filter("from_key <> to_key").distinct()
 
 
-EDGES = "edges AS (SELECT DISTINCT code_location_id, asset_key AS f, p.k AS t FROM (SELECT *, unnest(last_input_data_versions) AS p FROM assets))"
+EDGES = "edges AS (SELECT DISTINCT code_location_id, asset_key AS f, p.k AS t FROM (SELECT *, unnest(last_input_data_versions) AS p FROM assets) WHERE p.k <> asset_key)"
 OUT = "SELECT key, code_location_id, tick FROM"
 
 
@@ -96,16 +98,22 @@ replay("since_last_handled", C.UPDATED.since_last_handled(), f"{OUT} facts WHERE
 replay(
     "data_version_changed",
     C.Fact("data_version_changed"),
-    f"{OUT} (SELECT *, lag(ms) OVER (PARTITION BY key, code_location_id ORDER BY tick) AS was FROM facts) WHERE prev IS NOT NULL AND nullif(ms[3], '') IS DISTINCT FROM nullif(was[3], '')",
+    f"{OUT} (SELECT *, lag(ms) OVER (PARTITION BY key, code_location_id ORDER BY tick) AS was FROM facts) WHERE ms[3] <> '' AND CASE WHEN was[3] <> '' THEN ms[3] <> was[3] ELSE prev IS NOT NULL AND was[1] IS DISTINCT FROM ms[1] END",
+)
+replay(
+    "code_version_changed",
+    C.Fact("code_version_changed") | (C.Fact("initial_evaluation") & C.MISSING),
+    f"{OUT} facts WHERE (code_version IS NOT NULL AND code_version IS DISTINCT FROM nullif(ms[4], '')) OR (prev IS NULL AND missing)",
 )
-replay("code_version_changed", C.Fact("code_version_changed") | (C.Fact("initial_evaluation") & C.MISSING), f"{OUT} facts WHERE tick = 0 AND missing")
 DEPS = "FROM facts a JOIN edges x ON x.f = a.key AND x.code_location_id = a.code_location_id JOIN facts b ON b.key = x.t AND b.code_location_id = a.code_location_id AND b.tick = a.tick"
 NEWER = "(b.m IS NOT NULL AND (greatest(a.m, a.f) IS NULL OR b.m > greatest(a.m, a.f)))"
 replay("any_deps_match", C.Deps("any", C.FAILED), f"SELECT a.key, a.code_location_id, a.tick {DEPS} GROUP BY ALL HAVING bool_or(b.failed)")
+# A dependency that is no asset fulfils nothing, so not all do.
+WANTED = "w AS (SELECT f AS key, code_location_id, count(*) AS wanted FROM edges GROUP BY ALL)"
 replay(
     "all_deps_match",
     C.Deps("all", C.UPDATED),
-    f", q AS (SELECT a.key, a.code_location_id, a.tick, bool_and({NEWER}) AS ok {DEPS} GROUP BY ALL) {OUT} facts LEFT JOIN q USING (key, code_location_id, tick) WHERE coalesce(ok, true)",
+    f", {WANTED}, q AS (SELECT a.key, a.code_location_id, a.tick, bool_and({NEWER}) AS ok, count(*) AS seen {DEPS} GROUP BY ALL) {OUT} facts LEFT JOIN w USING (key, code_location_id) LEFT JOIN q USING (key, code_location_id, tick) WHERE coalesce(ok, true) AND coalesce(seen, 0) = coalesce(wanted, 0)",
 )
 replay(
     "asset_matches",
@@ -127,19 +135,53 @@ replay(
 )
 
 
-@CORE.query("cond_on_cron")
-def cond_on_cron(spark: SparkSession, d: str) -> DataFrame:
-    """Cron latches and zones have no SQL; the parts are tested one by one."""
-    return C.Evaluation(facts(spark, d), IDS, edges(spark, d)).run(C.on_cron("0 12 * * 1", "Europe/Berlin")).filter("fired").drop("fired")
+NAMED = ("raw_page_hits", "stg_page_hits")
+IN_NAMED = "b.key IN ('raw_page_hits', 'stg_page_hits')"
+replay(
+    "asset_matches_updated",
+    C.AssetMatches(NAMED, C.UPDATED),
+    f""" SELECT DISTINCT a.key, a.code_location_id, a.tick FROM facts a JOIN facts b ON b.code_location_id = a.code_location_id AND b.tick = a.tick AND {IN_NAMED}
+ WHERE CASE WHEN a.key = b.key THEN b.updated ELSE {NEWER} END""",
+)
+replay(
+    "deps_asset_matches",
+    C.Deps("any", C.AssetMatches(NAMED, C.UPDATED)),
+    f""" SELECT DISTINCT a.key, a.code_location_id, a.tick FROM facts a JOIN edges x ON x.f = a.key AND x.code_location_id = a.code_location_id
+ JOIN facts m ON m.key = x.t AND m.code_location_id = a.code_location_id AND m.tick = a.tick JOIN facts b ON b.code_location_id = a.code_location_id AND b.tick = a.tick AND {IN_NAMED}
+ WHERE CASE WHEN a.key = b.key THEN b.updated ELSE {NEWER} END""",
+)
+replay(
+    "deps_of_deps",
+    C.Deps("any", C.Deps("any", C.UPDATED)),
+    f""" SELECT DISTINCT a.key, a.code_location_id, a.tick FROM facts a JOIN edges x ON x.f = a.key AND x.code_location_id = a.code_location_id
+ JOIN facts m ON m.key = x.t AND m.code_location_id = a.code_location_id AND m.tick = a.tick JOIN edges y ON y.f = m.key AND y.code_location_id = a.code_location_id
+ JOIN facts b ON b.key = y.t AND b.code_location_id = a.code_location_id AND b.tick = a.tick WHERE CASE WHEN a.key = b.key THEN b.updated ELSE {NEWER} END""",
+)
+replay(
+    "cond_newly_true_deps",
+    C.Deps("any", C.UPDATED.newly_true()),
+    f""", p AS (SELECT a.key, a.code_location_id, a.tick, b.key AS dep, {NEWER} AS nw {DEPS}),
+n AS (SELECT *, nw AND NOT coalesce(lag(nw) OVER (PARTITION BY key, code_location_id, dep ORDER BY tick), false) AS rise FROM p) SELECT DISTINCT key, code_location_id, tick FROM n WHERE rise""",
+)
+# A tick ends a UTC day, so Monday noon in Berlin lies between the ticks of Sunday and of Monday.
+MONDAY = f"isodow(DATE '1970-01-01' + CAST(tick + {DAY0} AS INTEGER)) = 1"
+replay(
+    "cond_on_cron",
+    C.on_cron("0 12 * * 1", "Europe/Berlin"),
+    f""", {WANTED}, c AS (SELECT *, prev IS NOT NULL AND {MONDAY} AS cr FROM facts),
+o AS (SELECT *, max(tick) FILTER (cr) OVER k AS a, max(tick) FILTER ((coalesce(h = prev, false) OR updated) AND NOT cr) OVER k AS b FROM c WINDOW k AS (PARTITION BY key, code_location_id ORDER BY tick)),
+p AS (SELECT a.key, a.code_location_id, a.tick, b.key AS dep, {NEWER} AS nw, a.cr {DEPS.replace("facts a", "c a")}),
+l AS (SELECT *, max(tick) FILTER (nw) OVER k AS on_at, max(tick) FILTER (cr) OVER k AS off_at FROM p WINDOW k AS (PARTITION BY key, code_location_id, dep ORDER BY tick)),
+q AS (SELECT key, code_location_id, tick, bool_and(coalesce(on_at > coalesce(off_at, -1000000), false)) AS ok, count(*) AS seen FROM l GROUP BY ALL)
+{OUT} o LEFT JOIN w USING (key, code_location_id) LEFT JOIN q USING (key, code_location_id, tick)
+WHERE coalesce(a > coalesce(b, -1000000), false) AND coalesce(ok, true) AND coalesce(seen, 0) = coalesce(wanted, 0) AND NOT in_progress""",
+)
 
 
-@CORE.query("cron_tick_passed", f"SELECT CAST(tick AS BIGINT) AS tick FROM range({DAYS}) r(tick) WHERE tick > 0 AND isodow(DATE '2024-11-18' + CAST(tick AS INTEGER)) = 1")
+@CORE.query("cron_tick_passed", f"WITH {FACTS} SELECT DISTINCT tick FROM facts WHERE prev IS NOT NULL AND {MONDAY}")
 def cron_tick_passed(spark: SparkSession, d: str) -> DataFrame:
     """Days with an occurrence of Mondays at noon, Berlin time, since the day before."""
-    tree = C.CronTickPassed("0 12 * * 1", "Europe/Berlin")
-    ticks = spark.range(DAYS).select(F.lit("x").alias("key"), F.col("id").alias("tick"), ((F.col("id") + DAY0 + 1) * DAY_NS).alias("tick_ns"))
-    assert not tick_passed("0 12 * * 1", DAY0 * DAY_NS, DAY0 * DAY_NS)
-    return C.Evaluation(ticks).run(tree).filter("fired").select("tick")
+    return C.Evaluation(facts(spark, d), IDS).run(C.CronTickPassed("0 12 * * 1", "Europe/Berlin")).filter("fired").select("tick").distinct()
 
 
 def last_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -192,16 +234,14 @@ def backfill_in_progress(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.query(
     "will_be_requested",
-    """WITH RECURSIVE e AS (SELECT DISTINCT user_id % 50 AS f, CAST(floor((user_id % 50) / 2) AS BIGINT) AS t FROM events WHERE user_id % 50 > 0 UNION SELECT DISTINCT user_id % 50, CAST(floor((user_id % 50) / 3) AS BIGINT) FROM events WHERE user_id % 50 > 2),
-r AS (SELECT DISTINCT user_id % 50 AS key FROM events WHERE (user_id % 50) IN (7, 9) UNION SELECT e.f FROM r JOIN e ON e.t = r.key) SELECT CAST(key AS VARCHAR) AS key FROM r""",
+    f"""{DAG_PAIRS}, {ORDERED}, w AS (SELECT key FROM ordered JOIN nodes USING (key) WHERE last_data_version IS NULL UNION SELECT e.f FROM w JOIN edges e ON e.t = w.key JOIN ordered o ON o.key = e.f) SELECT key FROM w""",
 )
 def will_be_requested(spark: SparkSession, d: str) -> DataFrame:
-    """A request runs down the graph within one tick: level by level, each seeing what fired above."""
-    keys = dag_nodes(spark, d).withColumn("key", F.col("key").cast("string"))
-    pairs = dag_edges(spark, d).select(*(F.col(c).cast("string").alias(c) for c in ("from_key", "to_key")))
-    state = keys.withColumns({"tick": F.lit(0).cast("long"), "in_progress": F.col("key").isin("7", "9")})
-    tree = C.IN_PROGRESS | C.Deps("any", C.WILL_BE_REQUESTED)
-    return C.evaluate_in_order(state, pairs, topological_levels(keys, pairs), tree).filter("fired").select("key")
+    """Requests for assets without data run down the graph within one tick: level by level, each seeing what fired above."""
+    state = dag_nodes(spark, d).select("key", F.lit(0).cast("long").alias("tick"), F.col("last_data_version").alias("last_run_id"))
+    pairs = cut_lineage(dag_edges(spark, d))
+    tree = C.MISSING | C.Deps("any", C.WILL_BE_REQUESTED)
+    return C.evaluate_in_order(state, pairs, topological_levels(state, pairs), tree).filter("fired").select("key")
 
 
 @CORE.query(

@@ -7,85 +7,106 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import graph as G
 from tidemark.plans.registry import CORE
-from tidemark.session import cut_lineage
 from tidemark.sources.tables import table
 
-EDGES = """edges AS (
- SELECT DISTINCT user_id % 50 AS f, CAST(floor((user_id % 50) / 2) AS BIGINT) AS t FROM events WHERE user_id % 50 > 0
- UNION SELECT DISTINCT user_id % 50, CAST(floor((user_id % 50) / 3) AS BIGINT) FROM events WHERE user_id % 50 > 2),
-nodes AS (SELECT DISTINCT user_id % 50 AS key FROM events)"""
-PAIRS = f"""WITH RECURSIVE {EDGES}, r AS (SELECT f, t, 1 AS depth FROM edges UNION ALL SELECT r.f, e.t, r.depth + 1 FROM r JOIN edges e ON r.t = e.f)"""
+# The graph of the stored assets: a node is an asset of a code location, an edge is an input that its last
+# materialisation consumed. An asset that read its own previous output has no edge for that.
+INPUTS = "inputs AS (SELECT DISTINCT code_location_id AS l, code_location_id || '/' || asset_key AS f, code_location_id || '/' || p.k AS t FROM (SELECT *, unnest(last_input_data_versions) AS p FROM assets))"
+EDGES = f"""{INPUTS}, edges AS (SELECT * FROM inputs WHERE f <> t),
+nodes AS (SELECT code_location_id || '/' || asset_key AS key, * FROM assets)"""
+PAIRS = f"WITH RECURSIVE {EDGES}, r AS (SELECT f, t FROM edges UNION SELECT r.f, e.t FROM r JOIN edges e ON r.t = e.f)"
+# Nodes on a cycle or behind one are in no order.
+ORDERED = "ordered AS (SELECT key FROM nodes WHERE key NOT IN (SELECT f FROM r WHERE f = t) AND key NOT IN (SELECT a.f FROM r a JOIN r b ON a.t = b.f WHERE b.f = b.t))"
+
+
+def node(name: str) -> F.Column:
+    return F.concat_ws("/", "code_location_id", name)
+
+
+def inputs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "assets").select("code_location_id", node("asset_key").alias("from_key"), F.explode("last_input_data_versions.k").alias("k"))
+    return rows.select("from_key", node("k").alias("to_key")).distinct()
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """A DAG: each node depends on its half and on its third."""
-    node = (F.col("user_id") % 50).alias("n")
-    nodes = table(spark, d, "events").select(node).distinct()
-    halves = nodes.filter("n > 0").select(F.col("n").alias("from_key"), F.floor(F.col("n") / 2).cast("long").alias("to_key"))
-    thirds = nodes.filter("n > 2").select(F.col("n").alias("from_key"), F.floor(F.col("n") / 3).cast("long").alias("to_key"))
-    return halves.unionByName(thirds).distinct()
+    return inputs(spark, d).filter("from_key <> to_key")
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select((F.col("user_id") % 50).alias("key")).distinct()
+    return table(spark, d, "assets").withColumn("key", node("asset_key"))
 
 
-def some(spark: SparkSession, *keys: int) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in keys], "key long")
+def named(spark: SparkSession, d: str, *keys: str) -> DataFrame:
+    return nodes(spark, d).filter(F.col("asset_key").isin(*keys)).select("key")
 
 
-@CORE.query("reachable_pairs", f"{PAIRS} SELECT f AS from_key, t AS to_key, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY f, t")
+@CORE.query(
+    "reachable_pairs",
+    f"""WITH RECURSIVE {EDGES}, most AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM assets GROUP BY code_location_id)),
+r AS (SELECT f, t, 1 AS depth FROM edges UNION SELECT r.f, e.t, r.depth + 1 FROM r JOIN edges e ON r.t = e.f WHERE r.depth < (SELECT n FROM most))
+SELECT f AS from_key, t AS to_key, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY f, t""",
+)
 def reachable_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs: no asset reaches beyond its code location, so there are few for each."""
     return G.reachable_pairs(edges(spark, d))
 
 
-@CORE.query("ancestors", f"{PAIRS} SELECT DISTINCT t AS key FROM r WHERE f = 47")
+@CORE.query("ancestors", f"{PAIRS} SELECT DISTINCT t AS key FROM r WHERE f LIKE '%/cart_updates' AND t NOT LIKE '%/cart_updates'")
 def ancestors(spark: SparkSession, d: str) -> DataFrame:
-    return G.closure(edges(spark, d), some(spark, 47))
+    return G.closure(edges(spark, d), named(spark, d, "cart_updates"))
 
 
-@CORE.query("descendants", f"{PAIRS} SELECT DISTINCT f AS key FROM r WHERE t = 5")
+@CORE.query("descendants", f"{PAIRS} SELECT DISTINCT f AS key FROM r WHERE t LIKE '%/stg_page_hits' AND f NOT LIKE '%/stg_page_hits'")
 def descendants(spark: SparkSession, d: str) -> DataFrame:
-    return G.closure(edges(spark, d), some(spark, 5), downstream=True)
+    return G.closure(edges(spark, d), named(spark, d, "stg_page_hits"), downstream=True)
 
 
-@CORE.query("upstream_closure", f"{PAIRS} SELECT DISTINCT t AS key FROM r WHERE f IN (31, 40) UNION SELECT 31 UNION SELECT 40")
+@CORE.query(
+    "upstream_closure",
+    f"{PAIRS}, s AS (SELECT key FROM nodes WHERE asset_key IN ('device_pings', 'feature_cache')) SELECT DISTINCT t AS key FROM r JOIN s ON f = key UNION SELECT key FROM s",
+)
 def upstream_closure(spark: SparkSession, d: str) -> DataFrame:
-    return G.closure(edges(spark, d), some(spark, 31, 40), include_targets=True)
+    return G.closure(edges(spark, d), named(spark, d, "device_pings", "feature_cache"), include_targets=True)
 
 
-@CORE.query("topo_levels", f"{PAIRS} SELECT key, CAST(coalesce(max(depth), 0) AS INTEGER) AS level FROM nodes LEFT JOIN r ON key = f GROUP BY key")
+@CORE.query(
+    "topo_levels",
+    f"""{PAIRS}, {ORDERED}, p AS (SELECT f, t, 1 AS depth FROM edges JOIN ordered ON f = key UNION SELECT p.f, e.t, p.depth + 1 FROM p JOIN edges e ON p.t = e.f)
+SELECT key, CAST(coalesce(max(depth), 0) AS INTEGER) AS level FROM ordered LEFT JOIN p ON key = f GROUP BY key""",
+)
 def topo_levels(spark: SparkSession, d: str) -> DataFrame:
     return G.topological_levels(nodes(spark, d), edges(spark, d))
 
 
-@CORE.query(
-    "cycle_members",
-    f"""WITH RECURSIVE {EDGES}, e AS (SELECT * FROM edges UNION SELECT CAST(3 AS BIGINT), CAST(41 AS BIGINT)), r AS (SELECT f, t FROM e UNION SELECT r.f, e.t FROM r JOIN e ON r.t = e.f)
-SELECT f AS key FROM r WHERE f = t""",
-)
+@CORE.query("cycle_members", f"{PAIRS} SELECT f AS key FROM r WHERE f = t")
 def cycle_members(spark: SparkSession, d: str) -> DataFrame:
-    """One added edge, from 3 to 41, closes cycles through all that leads from 41 to 3."""
-    added = spark.createDataFrame([(3, 41)], "from_key long, to_key long")
-    return G.cycle_members(nodes(spark, d), edges(spark, d).unionByName(added))
+    return G.cycle_members(nodes(spark, d), edges(spark, d))
 
 
 @CORE.query(
     "unresolved_inputs",
-    f"WITH {EDGES} SELECT DISTINCT f AS from_key, t + 45 AS to_key, 'unresolved' AS problem FROM edges WHERE t + 45 NOT IN (SELECT key FROM nodes) UNION ALL SELECT DISTINCT f, t + 45, 'self' FROM edges WHERE f = t + 45",
+    f"""WITH {EDGES}, live AS (SELECT key FROM nodes WHERE last_data_version IS NOT NULL)
+SELECT f AS from_key, t AS to_key, 'unresolved' AS problem FROM inputs WHERE t NOT IN (SELECT key FROM live) UNION ALL SELECT f, t, 'self' FROM inputs WHERE f = t""",
 )
 def unresolved_inputs(spark: SparkSession, d: str) -> DataFrame:
-    return G.unresolved_inputs(nodes(spark, d), edges(spark, d).withColumn("to_key", F.col("to_key") + 45))
+    """Inputs that have no data, and assets that name themselves."""
+    return G.unresolved_inputs(nodes(spark, d).filter("last_data_version IS NOT NULL"), inputs(spark, d))
 
 
-@CORE.query("subgraph_missing_deps", f"WITH {EDGES} SELECT f AS from_key, t AS to_key FROM edges WHERE f % 3 = 0 AND t % 3 <> 0")
+@CORE.query("subgraph_missing_deps", f"WITH {EDGES}, s AS (SELECT key FROM nodes WHERE asset_group IS NOT NULL) SELECT f AS from_key, t AS to_key FROM edges WHERE f IN (FROM s) AND t NOT IN (FROM s)")
 def subgraph_missing_deps(spark: SparkSession, d: str) -> DataFrame:
-    return G.missing_dependencies(edges(spark, d), nodes(spark, d).filter("key % 3 = 0"))
+    """What the assets that are in a group need from those in none."""
+    return G.missing_dependencies(edges(spark, d), nodes(spark, d).filter("asset_group IS NOT NULL"))
 
 
-@CORE.query("grouped_plan_edges", f"WITH {EDGES} SELECT DISTINCT f // 8 AS from_step, t // 8 AS to_step FROM edges WHERE f // 8 <> t // 8")
+@CORE.query(
+    "grouped_plan_edges",
+    f"""WITH {EDGES}, g AS (SELECT key, code_location_id || '/' || coalesce(asset_group, asset_key) AS step FROM nodes)
+SELECT DISTINCT a.step AS from_step, b.step AS to_step FROM edges JOIN g a ON f = a.key JOIN g b ON t = b.key WHERE a.step <> b.step""",
+)
 def grouped_plan_edges(spark: SparkSession, d: str) -> DataFrame:
-    groups = nodes(spark, d).withColumn("step", F.floor(F.col("key") / 8).cast("long"))
+    """The assets of a group are one step, an asset without a group is one of its own."""
+    groups = nodes(spark, d).withColumn("name", F.coalesce("asset_group", "asset_key")).withColumn("step", node("name"))
     return G.grouped_edges(edges(spark, d), groups)
 
 
@@ -102,63 +123,51 @@ def synthetic_dag_degree(spark: SparkSession, d: str) -> DataFrame:
     return degrees.groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
 
 
-# Versions of the graph's nodes, made from their numbers: some missing, some with newer code, some inputs changed.
-RECORDS = """records AS (SELECT key, CASE WHEN key % 17 = 13 THEN NULL ELSE 'v' || key % 5 END AS dv, 'c' || key % 3 AS cv, CASE WHEN key % 11 = 7 THEN 'old' ELSE 'c' || key % 3 END AS mv FROM nodes),
-used AS (SELECT f, t, CASE WHEN (f + t) % 19 = 4 THEN 'older' ELSE 'v' || t % 5 END AS v FROM edges WHERE (f + t) % 23 <> 6)"""
-STALE = f"""WITH RECURSIVE {EDGES}, {RECORDS},
-direct AS (SELECT key, 'code' AS category, CAST(NULL AS BIGINT) AS dependency, 'code version changed' AS reason FROM records WHERE dv IS NOT NULL AND cv IS DISTINCT FROM mv
- UNION ALL SELECT e.f, 'data', e.t, CASE WHEN u.v IS NULL THEN 'upstream ''' || e.t || ''' has data not yet consumed' ELSE 'upstream ''' || e.t || ''' has new data version' END
- FROM edges e JOIN records a ON e.f = a.key JOIN records b ON e.t = b.key LEFT JOIN used u ON u.f = e.f AND u.t = e.t
- WHERE a.dv IS NOT NULL AND b.dv IS NOT NULL AND (u.v IS NULL OR u.v <> b.dv)),
-bad AS (SELECT key FROM direct UNION SELECT key FROM records WHERE dv IS NULL UNION SELECT e.f FROM bad JOIN edges e ON e.t = bad.key),
-above AS (SELECT e.f AS key, e.t AS dependency FROM edges e JOIN bad ON e.t = bad.key JOIN records a ON a.key = e.f WHERE a.dv IS NOT NULL),
+STALE = f"""{PAIRS}, {ORDERED}, records AS (SELECT key, last_data_version AS dv, code_version AS cv, last_materialization_code_version AS mv, code_location_id, last_input_data_versions AS used FROM nodes),
+moves AS (SELECT f, t FROM edges JOIN ordered ON f = key),
+versions AS (SELECT f, t, b.dv, list_filter(a.used, lambda p: a.code_location_id || '/' || p.k = t)[-1].v AS v, a.dv AS own FROM moves JOIN records a ON f = a.key JOIN records b ON t = b.key),
+direct AS (SELECT key, 'code' AS category, CAST(NULL AS VARCHAR) AS dependency, 'code version changed' AS reason FROM records WHERE dv IS NOT NULL AND cv IS NOT NULL AND cv IS DISTINCT FROM mv
+ UNION ALL SELECT f, 'data', t, CASE WHEN v IS NULL THEN 'upstream ''' || t || ''' has data not yet consumed' ELSE 'upstream ''' || t || ''' has new data version' END
+ FROM versions WHERE own IS NOT NULL AND dv IS NOT NULL AND (v IS NULL OR v <> dv)),
+bad AS (SELECT key FROM direct UNION SELECT key FROM records WHERE dv IS NULL UNION SELECT e.f FROM bad JOIN moves e ON e.t = bad.key),
+above AS (SELECT e.f AS key, e.t AS dependency FROM moves e JOIN bad ON e.t = bad.key JOIN records a ON a.key = e.f WHERE a.dv IS NOT NULL),
 causes AS (SELECT d.* FROM direct d LEFT JOIN above ON d.key = above.key AND d.dependency = above.dependency WHERE above.key IS NULL
  UNION ALL SELECT key, 'data', dependency, 'upstream ''' || dependency || ''' is stale' FROM above)"""
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    key = F.col("key")
-    used = F.when((F.col("from_key") + F.col("to_key")) % 19 == 4, "older").otherwise(F.concat(F.lit("v"), F.col("to_key") % 5))
-    consumed = edges(spark, d).filter("(from_key + to_key) % 23 <> 6").groupBy(F.col("from_key").alias("key")).agg(
-        F.collect_list(F.struct(F.col("to_key").cast("string").alias("k"), used.alias("v"))).alias("consumed")
-    )
-    made = nodes(spark, d).select(
-        "key",
-        F.when(key % 17 != 13, F.concat(F.lit("v"), key % 5)).alias("data_version"),
-        F.concat(F.lit("c"), key % 3).alias("code_version"),
-        F.when(key % 11 == 7, "old").otherwise(F.concat(F.lit("c"), key % 3)).alias("made_with_code_version"),
-    )
-    return made.join(consumed, "key", "left").withColumn("consumed", F.coalesce("consumed", F.array().cast("array<struct<k:string,v:string>>"))).withColumn("key", key.cast("string"))
-
+    """What the store knows of each asset: its versions, and those of the inputs that it consumed."""
+    consumed = F.transform("last_input_data_versions", lambda p: F.struct(F.concat_ws("/", "code_location_id", p["k"]).alias("k"), p["v"].alias("v")))
+    return nodes(spark, d).select("key", F.col("last_data_version").alias("data_version"), "code_version", F.col("last_materialization_code_version").alias("made_with_code_version"), consumed.alias("consumed"))
 
-def named_edges(spark: SparkSession, d: str) -> DataFrame:
-    return edges(spark, d).select(*(F.col(c).cast("string").alias(c) for c in G.PAIR))
 
-
-@CORE.query("stale_direct", f"{STALE} SELECT CAST(key AS VARCHAR) AS key, category, CAST(dependency AS VARCHAR) AS dependency FROM direct")
+@CORE.query(
+    "stale_direct",
+    f"""{PAIRS}, n AS (SELECT key, last_data_version AS dv, code_version AS cv, last_materialization_code_version AS mv, code_location_id, last_input_data_versions AS used FROM nodes),
+v AS (SELECT f, t, b.dv, list_filter(a.used, lambda p: a.code_location_id || '/' || p.k = t)[-1].v AS v FROM edges JOIN n a ON f = a.key JOIN n b ON t = b.key WHERE a.dv IS NOT NULL AND b.dv IS NOT NULL)
+SELECT key, 'code' AS category, CAST(NULL AS VARCHAR) AS dependency FROM n WHERE dv IS NOT NULL AND cv IS NOT NULL AND cv IS DISTINCT FROM mv UNION ALL SELECT f, 'data', t FROM v WHERE v IS NULL OR v <> dv""",
+)
 def stale_direct(spark: SparkSession, d: str) -> DataFrame:
     """Edge join: an asset against the versions of its inputs."""
-    rows = cut_lineage(records(spark, d))
-    live = rows.filter("data_version IS NOT NULL")
-    code = live.filter(~F.col("code_version").eqNullSafe(F.col("made_with_code_version"))).select("key", F.lit("code").alias("category"), F.lit(None).cast("string").alias("dependency"))
-    used = F.try_element_at(F.filter("consumed", lambda p: p["k"] == F.col("to_key")), F.lit(-1))["v"]
-    joined = named_edges(spark, d).join(live.select(F.col("key").alias("from_key"), "consumed"), "from_key").join(rows.select(F.col("key").alias("to_key"), F.col("data_version").alias("now")), "to_key")
-    data = joined.filter(F.col("now").isNotNull() & ~used.eqNullSafe(F.col("now"))).select(F.col("from_key").alias("key"), F.lit("data").alias("category"), F.col("to_key").alias("dependency"))
-    return code.unionByName(data)
+    return G.direct_causes(records(spark, d), edges(spark, d)).drop("reason")
 
 
-@CORE.query("staleness_status", f"{STALE} SELECT CAST(key AS VARCHAR) AS key, CASE WHEN dv IS NULL THEN 'Missing' WHEN key IN (SELECT key FROM causes) THEN 'Stale' ELSE 'UpToDate' END AS status FROM records")
+@CORE.query("staleness_status", f"{STALE} SELECT key, CASE WHEN dv IS NULL THEN 'Missing' WHEN key IN (SELECT key FROM causes) THEN 'Stale' ELSE 'UpToDate' END AS status FROM records")
 def staleness_status(spark: SparkSession, d: str) -> DataFrame:
-    return G.staleness(records(spark, d), named_edges(spark, d))
+    return G.staleness(records(spark, d), edges(spark, d))
 
 
-@CORE.query("stale_causes", f"{STALE} SELECT CAST(key AS VARCHAR) AS key, category, CAST(dependency AS VARCHAR) AS dependency, reason FROM causes")
+@CORE.query("stale_causes", f"{STALE} SELECT key, category, dependency, reason FROM causes")
 def stale_causes(spark: SparkSession, d: str) -> DataFrame:
-    return G.stale_causes(records(spark, d), named_edges(spark, d))
+    return G.stale_causes(records(spark, d), edges(spark, d))
 
 
-@CORE.query("time_based_eval_set", f"WITH RECURSIVE {EDGES}, r AS (SELECT CAST(10 AS BIGINT) AS key UNION SELECT e.f FROM r JOIN edges e ON e.t = r.key WHERE e.f % 4 <> 1) SELECT key FROM r")
+@CORE.query(
+    "time_based_eval_set",
+    f"""WITH RECURSIVE {EDGES}, judged AS (SELECT DISTINCT code_location_id || '/' || asset_key AS key FROM condition_evals),
+r AS (SELECT key FROM nodes WHERE asset_key = 'stg_page_hits' UNION SELECT e.f FROM r JOIN edges e ON e.t = r.key JOIN judged j ON j.key = e.f) SELECT key FROM r""",
+)
 def time_based_eval_set(spark: SparkSession, d: str) -> DataFrame:
-    """What a tick has to evaluate: downstream of the changed asset, through assets with a condition only."""
-    conditioned = edges(spark, d).filter("from_key % 4 <> 1")
-    return G.closure(conditioned, some(spark, 10), downstream=True, include_targets=True)
+    """What a tick has to evaluate: downstream of the changed assets, through assets with a condition only."""
+    judged = table(spark, d, "condition_evals").select("code_location_id", "asset_key").distinct().select(node("asset_key").alias("from_key"))
+    return G.closure(edges(spark, d).join(judged, "from_key", "left_semi"), named(spark, d, "stg_page_hits"), downstream=True, include_targets=True)

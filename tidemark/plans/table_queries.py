@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import datetime
 from functools import reduce
@@ -15,6 +14,7 @@ from tidemark.operators import merge as G
 from tidemark.operators import predicates as P
 from tidemark.operators.partitions import TimeWindow, daily
 from tidemark.plans.registry import CORE
+from tidemark.session import shared_dir
 from tidemark.sources.tables import table
 from tidemark.sources.versioned import VersionedTable
 
@@ -27,9 +27,8 @@ def orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder for a table: below the cluster's shared checkpoint folder, or a temporary one without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or tempfile.mkdtemp(prefix='tidemark-tables-')).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    """A fresh folder for a table, below the folder for intermediate data."""
+    return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
 
 
 @CORE.query("scan_filter_project", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderstatus = 'F'")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -20,23 +21,39 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a checkpoint goes with the frame that it was made for
     } | {k: str(v) for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder, so that lost executors cost nothing.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate data: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's own (``spark.checkpoint.dir``); only where none is set, as in
-    tests on one machine, a temporary one is made.
+    Where none is set, a temporary one is made, removed at exit; that is for tests on one machine, so
+    on any master other than a local one it is an error.
     """
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if known:
+        return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[application], ignore_errors=True)
+    return _LOCAL_DIRS[application]
+
+
+_LOCAL_DIRS: dict[str, str] = {}
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder, so that lost executors cost nothing."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-        )
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +15,7 @@ from pyspark.sql.types import StructType
 from tidemark.functions.formats import nanos_to_micros
 from tidemark.operators.merge import Clause
 from tidemark.operators.runs import latest_per
+from tidemark.session import shared_dir
 from tidemark.sources.versioned import VersionedTable
 
 ASSET = ["code_location_id", "asset_key"]
@@ -71,16 +71,12 @@ def since_latch(events: DataFrame, trigger: str, reset: str) -> DataFrame:
 
 def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str | None = None, mode: str = "append") -> StreamingQuery:
     """Process what is there in micro-batches and stop; a restart with the same checkpoint goes on from there."""
-    place = checkpoint or f"{base_dir(df.sparkSession)}/streams/{uuid.uuid4().hex}"
+    place = checkpoint or f"{shared_dir(df.sparkSession)}/streams/{uuid.uuid4().hex}"
     query = df.writeStream.outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
     return query
 
 
-def base_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")).rstrip("/")
-
-
 class CommittedSink:
     """Applies each micro-batch to a table once, even if the stream repeats it after a crash.
 
