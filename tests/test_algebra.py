@@ -199,24 +199,41 @@ def test_floors(spark):
 TAGS = "array<struct<k:string,v:string>>"
 
 
-def test_dequeue_with_many_limits_equals_a_plain_loop(spark):
-    r = random.Random(4)
-    data = [("l", f"r{i:03}", r.choice(["Queued", "Queued", "Started", "Success"]), r.randint(0, 2), r.randint(0, 50), [(k, r.choice("xy")) for k in r.sample(["env", "team", "zone"], r.randint(0, 3))]) for i in range(120)]
-    df = spark.createDataFrame(data, f"code_location_id string, run_id string, status string, priority int, start_time long, tags {TAGS}")
-    limits = [R.TagLimit("env", 20, per_value=True), R.TagLimit("team", 25), R.TagLimit("zone", 12, value="x")]
-    counts, want = {}, []
-    slots = lambda tags: [(i, v if m.per_value else None) for i, m in enumerate(limits) for k, v in tags if k == m.key and (m.value is None or v == m.value)]
-    for row in data:
-        if row[2] == "Started":
-            for s in slots(row[5]):
-                counts[s] = counts.get(s, 0) + 1
-    for row in sorted((x for x in data if x[2] == "Queued"), key=lambda x: (-x[3], x[4], x[1])):
-        if len(want) < 15 and all(counts.get(s, 0) < limits[s[0]].limit for s in slots(row[5])):
-            want.append(row[1])
-            for s in slots(row[5]):
-                counts[s] = counts.get(s, 0) + 1
-    assert [x.run_id for x in R.dequeue(df, limits, 15).orderBy("position").collect()] == want
-    assert R.dequeue(df.limit(0), limits, 15).count() == 0
+def plain_dequeue(data, limits, most):
+    """The queue of each code location in a plain loop; tags count as often as a run has them."""
+    touched = lambda tags: [(i, v if m.per_value else None) for i, m in enumerate(limits) for k, v in tags or () if k == m.key and (m.value is None or v == m.value)]
+    want = []
+    for place in sorted({row[1] for row in data}):
+        counts, busy = {}, 0
+        for row in data:
+            if row[1] == place and row[2] in ("Started", "NotStarted"):
+                busy += 1
+                for c in touched(row[5]):
+                    counts[c] = counts.get(c, 0) + 1
+        taken = []
+        for row in sorted((x for x in data if x[1] == place and x[2] == "Queued"), key=lambda x: (-x[3], x[4], x[0])):
+            if (most < 0 or busy + len(taken) < most) and all(counts.get(c, 0) < limits[c[0]].limit for c in touched(row[5])):
+                taken.append((place, row[0], len(taken) + 1))
+                for c in touched(row[5]):
+                    counts[c] = counts.get(c, 0) + 1
+        want += taken
+    return want
+
+
+@pytest.mark.parametrize("seed,most", [(0, 40), (1, 30), (2, -1), (3, 22), (4, 0)])
+def test_dequeue_equals_a_plain_loop(spark, seed, most):
+    """Tag keys and whole pairs repeat within a run, and each code location has a queue of its own."""
+    r = random.Random(seed)
+    tags = lambda: None if r.random() < 0.1 else [(r.choice(("env", "team", "zone")), r.choice("xyz")) for _ in range(r.randint(0, 4))]
+    data = [(f"r{i:03}", r.choice("ab"), r.choice(["Queued", "Queued", "Started", "NotStarted", "Success"]), r.randint(0, 2), r.randint(0, 50), tags()) for i in range(150)]
+    df = spark.createDataFrame(data, f"run_id string, code_location_id string, status string, priority int, start_time long, tags {TAGS}")
+    limits = [R.TagLimit("env", 14, per_value=True), R.TagLimit("team", 33), R.TagLimit("zone", 12, value="x")]
+    assert rows(R.dequeue(df, limits, most), "code_location_id", "run_id", "position") == sorted(plain_dequeue(data, limits, most), key=repr)
+    one = [R.TagLimit("env", 16, per_value=True)]
+    assert rows(R.dequeue_tag_limit(df, "env", 16, most), "code_location_id", "run_id", "position") == sorted(plain_dequeue(data, one, most), key=repr)
+    assert rows(R.dequeue_global(df, most), "code_location_id", "run_id") == sorted((x[:2] for x in plain_dequeue(data, [], most)), key=repr)
+    assert rows(R.dequeue(df, [], most), "code_location_id", "run_id", "position") == sorted(plain_dequeue(data, [], most), key=repr)
+    assert R.dequeue(df.limit(0), limits, most).count() == 0
 
 
 def test_tags_and_filters_with_nulls(spark):

@@ -11,7 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.session import ship_package
+
 QUEUE_STATES = ("Queued", "NotStarted")
+BUSY_STATES = ("Started", "NotStarted")
+TAGS = "array<struct<k:string,v:string>>"
+COUNTERS = "array<struct<i:int,v:string>>"
 DAY_NS = 86_400_000_000_000
 PRIORITY_TAG = "priority"
 
@@ -146,37 +151,18 @@ def queue_order() -> list[Column]:
     return [F.desc("priority"), F.asc("start_time"), F.asc("run_id")]
 
 
-def dequeue_global(runs: DataFrame, limit: int) -> DataFrame:
-    """The queued runs that start next under a global limit; below 0 means no limit."""
-    queued = runs.filter(F.col("status") == "Queued")
-    if limit < 0:
-        return queued
-    free = max(0, limit - runs.filter(F.col("status") == "Started").count())
-    return queued.orderBy(*queue_order()).limit(free)
-
-
-def dequeue_tag_limit(runs: DataFrame, key: str, limit: int, slots: int) -> DataFrame:
-    """The next runs under one limit per distinct value of a tag key and a number of free slots.
+def dequeue_global(runs: DataFrame, most: int) -> DataFrame:
+    """The queued runs that start next if each code location may have ``most`` in progress; below 0 means no limit.
 
-    A run counts for each of its values and waits if any of them is at the limit; blocked runs use no
-    slot, and untagged runs are bound by the slots only. Where no live run has several values, the
-    rank within the value decides who is blocked; else the queue is folded in order.
+    Runs started and runs being launched are in progress. The constant bound on the place lets each
+    task keep ``most`` runs of a location before the shuffle.
     """
-    live = runs.filter(F.col("status").isin("Queued", "Started"))
-    several = F.size(F.array_distinct(F.transform(F.filter("tags", lambda t: t["k"] == key), lambda t: t["v"]))) > 1
-    if not live.filter(several).isEmpty():
-        started = dequeue(live.withColumn("code_location_id", F.lit("")), [TagLimit(key, limit, per_value=True)], slots)
-        return runs.join(started.select("run_id"), "run_id", "left_semi").select(*runs.columns).orderBy(*queue_order())
-    value = F.try_element_at(F.filter("tags", lambda t: t["k"] == key), F.lit(1))["v"]
-    tagged = runs.withColumn("__value", value)
-    running = tagged.filter((F.col("status") == "Started") & F.col("__value").isNotNull()).groupBy("__value").agg(F.count(F.lit(1)).alias("__running"))
-    queued = tagged.filter(F.col("status") == "Queued")
-    # The constant bound on the place lets each task keep ``limit`` runs of a value before the shuffle.
-    place = F.row_number().over(W.partitionBy("__value").orderBy(*queue_order()))
-    ranked = queued.filter(F.col("__value").isNotNull()).withColumn("__place", place).filter(F.col("__place") <= limit)
-    free = ranked.join(running, "__value", "left").filter(F.col("__place") + F.coalesce("__running", F.lit(0)) <= limit)
-    every = free.select(*runs.columns).unionByName(queued.filter(F.col("__value").isNull()).select(*runs.columns))
-    return every.orderBy(*queue_order()).limit(slots)
+    queued = runs.filter(F.col("status") == "Queued")
+    if most < 0:
+        return queued
+    busy = runs.filter(F.col("status").isin(*BUSY_STATES)).groupBy("code_location_id").agg(F.count(F.lit(1)).alias("__busy"))
+    first = queued.withColumn("__place", F.row_number().over(W.partitionBy("code_location_id").orderBy(*queue_order()))).filter(F.col("__place") <= most)
+    return first.join(busy, "code_location_id", "left").filter(F.col("__place") + F.coalesce("__busy", F.lit(0)) <= most).select(*runs.columns)
 
 
 @dataclass(frozen=True)
@@ -186,46 +172,62 @@ class TagLimit:
     value: str | None = None
     per_value: bool = False
 
+    def counters(self, number: int) -> Column:
+        """The counters that a run's tags touch, one for each matching tag: (limit's number, value if each has its own)."""
+        of_key = F.filter(F.coalesce("tags", F.array().cast(TAGS)), lambda t: (t["k"] == self.key) if self.value is None else (t["k"] == self.key) & (t["v"] == self.value))
+        return F.transform(of_key, lambda t: F.struct(F.lit(number).alias("i"), (t["v"] if self.per_value else F.lit(None).cast("string")).alias("v")))
+
+
+def dequeue(runs: DataFrame, limits: Iterable[TagLimit], most: int = -1) -> DataFrame:
+    """The queued runs that start next under several tag limits and ``most`` runs in progress (below 0: any number).
 
-def dequeue(runs: DataFrame, limits: Iterable[TagLimit], slots: int) -> DataFrame:
-    """The general rule, several limits at once: a fold over the queue in order, in one call.
+    Each code location has a queue and counts of its own. A tag counts as often as a run has it; a run
+    waits if any counter that it touches has reached its limit, and runs behind it go on. Runs in
+    progress are those started or being launched. Columns: code_location_id, run_id, priority,
+    start_time, position (from 1). Null tags are none.
 
-    The queue is cut per code location, each folded on its own. A fold sees the live runs of its
-    location (queued and started, not the history), and of these only id, order and tags. Columns: code_location_id, run_id, position (from 1).
+    The queue is folded in order, but no call takes all of it: of runs that touch the same counters
+    only as many can start as the least of their limits allows, and once one of them waits so do all
+    behind it. So only that many of each set of counters are kept, before the shuffle.
     """
     limits = tuple(limits)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        counts: dict[tuple, int] = {}
-
-        def slots_of(tags) -> list[tuple[tuple, int]]:
-            found = []
-            for i, limit in enumerate(limits):
-                pairs = [(t["k"], t["v"]) for t in tags if t["k"] == limit.key]
-                if limit.per_value:
-                    found += [((i, v), limit.limit) for v in {v for _, v in pairs}]
-                elif pairs and (limit.value is None or any(v == limit.value for _, v in pairs)):
-                    found.append(((i, None), limit.limit))
-            return found
-
-        for tags in rows.loc[rows["status"] == "Started", "tags"]:
-            for slot, _ in slots_of(tags):
-                counts[slot] = counts.get(slot, 0) + 1
-        queue = rows[rows["status"] == "Queued"].sort_values(["priority", "start_time", "run_id"], ascending=[False, True, True])
-        out = []
-        for row in queue.itertuples(index=False):
-            if len(out) >= slots:
+    ship_package(runs.sparkSession)
+    touched = F.concat(F.array().cast(COUNTERS), *(limit.counters(i) for i, limit in enumerate(limits)))
+    live = runs.select("code_location_id", "run_id", "status", "priority", "start_time", touched.alias("counters"))
+    busy = live.filter(F.col("status").isin(*BUSY_STATES)).select("code_location_id", F.explode(F.concat("counters", F.array(F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("v"))))).alias("c"))
+    counts = busy.groupBy("code_location_id", "c").agg(F.count(F.lit(1)).alias("n")).select("code_location_id", "c.i", "c.v", "n")
+    queued = live.filter(F.col("status") == "Queued").drop("status")
+    place = F.row_number().over(W.partitionBy("code_location_id", F.array_sort(F.array_distinct("counters"))).orderBy(*queue_order()))
+    least = F.least(F.lit(1 << 30), F.lit(1 << 30 if most < 0 else most), *(F.when(F.array_contains("counters.i", i), limit.limit) for i, limit in enumerate(limits)))
+    bound = max((x.limit for x in limits), default=0) if most < 0 else most
+    tagged = queued.filter(F.size("counters") > 0) if most < 0 else queued
+    kept = tagged.withColumn("__place", place).filter((F.col("__place") <= bound) & (F.col("__place") <= least)).drop("__place")
+
+    def fold(queue: pd.DataFrame, used: pd.DataFrame) -> pd.DataFrame:
+        count = {(int(i), v): int(n) for i, v, n in used[["i", "v", "n"]].itertuples(index=False)}
+        free = len(queue) if most < 0 else most - count.get((-1, None), 0)
+        taken = []
+        for row in queue.sort_values(["priority", "start_time", "run_id"], ascending=[False, True, True]).itertuples(index=False):
+            if len(taken) >= free:
                 break
-            wanted = slots_of(row.tags)
-            if any(counts.get(s, 0) >= most for s, most in wanted):
+            wanted = [(int(c["i"]), c["v"]) for c in row.counters]
+            if any(count.get(c, 0) >= limits[c[0]].limit for c in wanted):
                 continue
-            for s, _ in wanted:
-                counts[s] = counts.get(s, 0) + 1
-            out.append((row.code_location_id, row.run_id, len(out) + 1))
-        return pd.DataFrame(out, columns=["code_location_id", "run_id", "position"])
+            for c in wanted:
+                count[c] = count.get(c, 0) + 1
+            taken.append((row.code_location_id, row.run_id, row.priority, row.start_time))
+        return pd.DataFrame(taken, columns=["code_location_id", "run_id", "priority", "start_time"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in queued.drop("counters").dtypes)
+    started = kept.groupBy("code_location_id").cogroup(counts.groupBy("code_location_id")).applyInPandas(fold, schema)
+    if most < 0:  # runs that no limit concerns all start
+        started = started.unionByName(queued.filter(F.size("counters") == 0).drop("counters"))
+    return started.withColumn("position", F.row_number().over(W.partitionBy("code_location_id").orderBy(*queue_order())))
+
 
-    live = runs.filter(F.col("status").isin("Queued", "Started")).select("code_location_id", "run_id", "status", "priority", "start_time", "tags")
-    return live.groupBy("code_location_id").applyInPandas(fold, "code_location_id string, run_id string, position int")
+def dequeue_tag_limit(runs: DataFrame, key: str, limit: int, most: int) -> DataFrame:
+    """The next runs of each code location under one limit per distinct value of a tag key."""
+    return dequeue(runs, [TagLimit(key, limit, per_value=True)], most)
 
 
 def queue_lane(status: Column, reason: Column) -> Column:

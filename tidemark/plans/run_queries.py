@@ -138,31 +138,48 @@ def tag_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @CORE.query(
     "dequeue_global",
-    """SELECT run_id, priority, start_time FROM runs WHERE status = 'Queued' ORDER BY priority DESC, start_time, run_id
-LIMIT greatest(0, 20000 - (SELECT count(*) FROM runs WHERE status = 'Started'))""",
+    """WITH b AS (SELECT code_location_id, count(*) AS n FROM runs WHERE status IN ('Started', 'NotStarted') GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY code_location_id ORDER BY priority DESC, start_time, run_id) AS place FROM runs WHERE status = 'Queued')
+SELECT run_id, priority, start_time FROM q LEFT JOIN b USING (code_location_id) WHERE place + coalesce(n, 0) <= 30""",
 )
 def dequeue_global(spark: SparkSession, d: str) -> DataFrame:
-    return R.dequeue_global(runs(spark, d), 20_000).select("run_id", "priority", "start_time")
+    return R.dequeue_global(runs(spark, d), 30).select("run_id", "priority", "start_time")
+
+
+def fold_sql(counters: str, limit: str, most: int, final: str) -> str:
+    """The queue of each code location folded in order; ``counters`` are the counters that a run's tags touch, ``limit`` that of counter c."""
+    free = f"f.n < {most} AND len(list_filter(q.cs, lambda c: len(list_filter(f.used, lambda u: u = c)) >= {limit})) = 0"
+    return f"""WITH RECURSIVE live AS (SELECT *, {counters} AS cs FROM runs WHERE status IN ('Queued', 'Started', 'NotStarted')),
+b AS (SELECT code_location_id, count(*) AS n, flatten(list(cs)) AS used FROM live WHERE status <> 'Queued' GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY code_location_id ORDER BY priority DESC, start_time, run_id) AS place FROM live WHERE status = 'Queued'),
+f AS (SELECT code_location_id, CAST(0 AS BIGINT) AS place, '' AS run_id, 0 AS priority, CAST(0 AS BIGINT) AS start_time, false AS ok, coalesce(n, 0) AS n, coalesce(used, CAST([] AS VARCHAR[])) AS used
+ FROM (SELECT DISTINCT code_location_id FROM q) LEFT JOIN b USING (code_location_id)
+ UNION ALL SELECT q.code_location_id, q.place, q.run_id, q.priority, q.start_time, {free}, f.n + CASE WHEN {free} THEN 1 ELSE 0 END, CASE WHEN {free} THEN list_concat(f.used, q.cs) ELSE f.used END
+ FROM f JOIN q ON q.code_location_id = f.code_location_id AND q.place = f.place + 1)
+{final}"""
 
 
 @CORE.query(
     "dequeue_tag_limit",
-    """WITH t AS (SELECT *, list_filter(tags, lambda x: x.k = 'region')[1].v AS val FROM runs),
-r AS (SELECT val, count(*) AS n FROM t WHERE status = 'Started' AND val IS NOT NULL GROUP BY val),
-q AS (SELECT t.run_id, t.priority, t.start_time, t.val, coalesce(n, 0) AS n,
-      row_number() OVER (PARTITION BY t.val ORDER BY priority DESC, start_time, run_id) AS place
-      FROM t LEFT JOIN r ON t.val = r.val WHERE status = 'Queued')
-SELECT run_id, priority, start_time FROM q WHERE val IS NULL OR place + n <= 25 ORDER BY priority DESC, start_time, run_id LIMIT 60""",
+    fold_sql("list_transform(list_filter(tags, lambda t: t.k = 'region'), lambda t: t.v)", "8", 50, "SELECT run_id, priority, start_time FROM f WHERE ok"),
 )
 def dequeue_tag_limit(spark: SparkSession, d: str) -> DataFrame:
-    return R.dequeue_tag_limit(runs(spark, d), "region", 25, 60).select("run_id", "priority", "start_time")
+    return R.dequeue_tag_limit(runs(spark, d), "region", 8, 50).select("run_id", "priority", "start_time")
 
 
-@CORE.query("dequeue_many_limits")
+@CORE.query(
+    "dequeue_many_limits",
+    fold_sql(
+        """list_transform(list_filter(tags, lambda t: t.k IN ('region', 'team') OR (t.k = 'env' AND t.v = 'prod')), lambda t: CASE WHEN t.k = 'region' THEN 'region=' || t.v ELSE t.k END)""",
+        "CASE c WHEN 'env' THEN 10 WHEN 'team' THEN 15 ELSE 8 END",
+        45,
+        "SELECT code_location_id, run_id, CAST(row_number() OVER (PARTITION BY code_location_id ORDER BY place) AS INTEGER) AS position FROM f WHERE ok",
+    ),
+)
 def dequeue_many_limits(spark: SparkSession, d: str) -> DataFrame:
-    """Several limits at once fold the queue in order, which SQL can't state."""
-    limits = [R.TagLimit("region", 8, per_value=True), R.TagLimit("env", 5, value="prod"), R.TagLimit("team", 20)]
-    return R.dequeue(runs(spark, d), limits, 25)
+    """Several limits at once fold each queue in order."""
+    limits = [R.TagLimit("region", 8, per_value=True), R.TagLimit("env", 10, value="prod"), R.TagLimit("team", 15)]
+    return R.dequeue(runs(spark, d), limits, 45).select("code_location_id", "run_id", "position")
 
 
 @CORE.query(
