@@ -41,11 +41,18 @@ class AmbiguousMerge(ValueError):
     """Several source rows match one target row."""
 
 
-def check_source(source: DataFrame, keys: Sequence[str]) -> None:
-    """Raise if the source has a key twice: which row would win is undefined."""
-    twice = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1)
-    if row := twice.first():
-        raise AmbiguousMerge(f"the source has {row['n']} rows for {[row[k] for k in keys]}")
+def check_source(source: DataFrame, keys: Sequence[str], target: DataFrame, clauses: str | Sequence[Clause]) -> None:
+    """Raise if several source rows match one target row and a clause would act on it: which one wins is undefined.
+
+    Keys that the source has twice and the target lacks are rows to insert.
+    """
+    if not any(c.kind in MATCHED for c in (PRESETS[clauses] if isinstance(clauses, str) else clauses)):
+        return
+    twice = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    there = target.select(*(F.col(k).alias(f"__{k}") for k in keys))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    if row := twice.join(there, same, "left_semi").limit(1).first():
+        raise AmbiguousMerge(f"the source has {row['__n']} rows for {[row[k] for k in keys]}")
 
 
 def joined(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -75,7 +82,7 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], clauses: st
     has and the source lacks keep their value on update-all and are null on insert-all.
     """
     if check:
-        check_source(source, keys)
+        check_source(source, keys, target, clauses)
     number, ordered = _actions(PRESETS[clauses] if isinstance(clauses, str) else clauses)
     rows = joined(target, source, keys).withColumn("__do", number)
 

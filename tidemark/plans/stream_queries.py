@@ -26,7 +26,7 @@ def stream(spark: SparkSession, d: str, lateness: str = "400 days") -> DataFrame
 def stream_asset_state(spark: SparkSession, d: str) -> DataFrame:
     state = VersionedTable(spark, scratch(spark))
     S.run_available(stream(spark, d), S.asset_state_sink(state))
-    return state.read().drop("batch_id")
+    return state.read()
 
 
 def gathered(spark: SparkSession, df: DataFrame, mode: str, partition: str | None = None) -> DataFrame:
@@ -53,5 +53,5 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
  FROM asset_events WHERE asset_key IS NOT NULL AND event_type IN ('StepFailure', 'Materialization') GROUP BY 1, 2""",
 )
 def stream_since_latch(spark: SparkSession, d: str) -> DataFrame:
-    rows = gathered(spark, S.since_latch(stream(spark, d), "StepFailure", "Materialization"), "append")
+    rows = gathered(spark, S.since_latch(stream(spark, d), "StepFailure", "Materialization"), "update")
     return latest_per(rows, S.ASSET, ["batch_id"], ["latched"])

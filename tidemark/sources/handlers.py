@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from abc import ABC, abstractmethod
-from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
@@ -67,26 +70,66 @@ def partition_suffix(partition: Key | None) -> str:
 
 
 class MemoryHandler(IOHandler):
-    """Keeps lazy DataFrames by asset and partition: nothing is computed until it is read."""
+    """Keeps lazy DataFrames by asset and partition: nothing is computed until it is read.
+
+    Several partitions at once are stored one by one, by their columns, and loaded as their union.
+    """
 
     def __init__(self) -> None:
         self.stored: dict[tuple[str, str], DataFrame] = {}
 
-    @staticmethod
-    def _key(context: Context) -> tuple[str, str]:
-        return context.asset, partition_suffix(context.partitions[0] if context.partitions else None)
-
     def load_input(self, spark: SparkSession, context: Context) -> DataFrame:
-        try:
-            return self.stored[self._key(context)]
-        except KeyError:
-            raise KeyError(f"nothing stored for {self._key(context)}") from None
+        keys = [(context.asset, partition_suffix(p)) for p in context.partitions or [None]]
+        if absent := [k for k in keys if k not in self.stored]:
+            raise KeyError(f"nothing stored for {absent}")
+        return reduce(DataFrame.unionByName, (self.stored[k] for k in keys))
 
     def handle_output(self, context: Context, output: DataFrame) -> dict[str, Any]:
-        self.stored[self._key(context)] = output
+        several = context.partitions if context.partitions is not None and len(context.partitions) > 1 else None
+        for partition in context.partitions or [None]:
+            rows = output.filter(replace(context, partitions=[partition]).predicate()) if several else output
+            self.stored[context.asset, partition_suffix(partition)] = rows
         return {"schema": output.schema.json()}
 
 
+class PickleHandler(IOHandler):
+    """Python objects of any kind, pickled one file per asset and partition below a root on any store of Hadoop.
+
+    Values are as large as the driver can hold; tables belong to ``TableHandler``. Load only what you
+    trust: unpickling runs code.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _path(self, context: Context):
+        if context.partitions is not None and len(context.partitions) != 1:
+            raise ValueError("a pickled value belongs to one partition")
+        name = quote(partition_suffix(context.partitions[0]) if context.partitions else "value", safe="=|,")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{context.settings.root_name or context.asset}/{name}.pickle")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def handle_output(self, context: Context, output: Any) -> dict[str, Any]:
+        path, fs = self._path(context)
+        data = pickle.dumps(output)
+        stream = fs.create(path, True)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+        return {"bytes": len(data)}
+
+    def load_input(self, spark: SparkSession, context: Context) -> Any:
+        path, fs = self._path(context)
+        if not fs.exists(path):
+            raise KeyError(f"nothing stored at {path.toString()}")
+        stream = fs.open(path)
+        try:
+            return pickle.loads(bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        finally:
+            stream.close()
+
+
 class TableHandler(IOHandler):
     """A versioned parquet table for each asset below a root; partitions are replaced alone."""
 
@@ -130,36 +173,135 @@ class Handlers:
         return self.get(of_input if of_input is not None else of_upstream)
 
 
-#: How a DataFrame becomes what a function's annotation asks for. Local types pull all rows to the driver.
-CONVERTERS: list[tuple[type, Callable[[DataFrame], Any]]] = [
-    (DataFrame, lambda df: df),
-    (pd.DataFrame, lambda df: df.toPandas()),
-    (pa.Table, lambda df: df.toArrow()),
-    (pa.RecordBatchReader, lambda df: (lambda t: t.to_reader())(df.toArrow())),
-    (list, lambda df: [r.asDict(recursive=True) for r in df.collect()]),
-]
+class TypeHandler(ABC):
+    """How one Python type is loaded from a table and stored as one. Local types pull all rows to the driver."""
+
+    kind: type
+
+    def accepts(self, wanted: Any) -> bool:
+        return isinstance(wanted, type) and issubclass(wanted, self.kind)
+
+    @abstractmethod
+    def load(self, df: DataFrame) -> Any: ...
+
+    @abstractmethod
+    def store(self, spark: SparkSession, value: Any, schema: StructType | None) -> DataFrame: ...
+
+
+def _created(spark: SparkSession, value: Any, schema: StructType | None) -> DataFrame:
+    return spark.createDataFrame(value, schema) if schema is not None else spark.createDataFrame(value)
+
+
+class SparkFrames(TypeHandler):
+    kind = DataFrame
+
+    def load(self, df: DataFrame) -> Any:
+        return df
+
+    def store(self, spark: SparkSession, value: Any, schema: StructType | None) -> DataFrame:
+        return value
+
+
+class PandasFrames(TypeHandler):
+    kind = pd.DataFrame
+
+    def load(self, df: DataFrame) -> Any:
+        return df.toPandas()
+
+    def store(self, spark: SparkSession, value: Any, schema: StructType | None) -> DataFrame:
+        return _created(spark, value, schema)
+
+
+class ArrowTables(TypeHandler):
+    kind = pa.Table
+
+    def load(self, df: DataFrame) -> Any:
+        return df.toArrow()
+
+    def store(self, spark: SparkSession, value: Any, schema: StructType | None) -> DataFrame:
+        return _created(spark, value, schema)
+
+
+class ArrowReaders(ArrowTables):
+    kind = pa.RecordBatchReader
+
+    def load(self, df: DataFrame) -> Any:
+        return df.toArrow().to_reader()
+
+    def store(self, spark: SparkSession, value: Any, schema: StructType | None) -> DataFrame:
+        return super().store(spark, value.read_all(), schema)
+
+
+class Rows(TypeHandler):
+    """A list of dicts; an empty one needs a schema."""
+
+    kind = list
+
+    def load(self, df: DataFrame) -> Any:
+        return [r.asDict(recursive=True) for r in df.collect()]
+
+    def store(self, spark: SparkSession, value: Any, schema: StructType | None) -> DataFrame:
+        if not value and schema is None:
+            raise TypeError("can't store an empty list without a schema")
+        return _created(spark, value, schema)
+
+
+#: The first that accepts a type handles it; ``register`` puts one in front.
+TYPES: list[TypeHandler] = [SparkFrames(), PandasFrames(), ArrowTables(), ArrowReaders(), Rows()]
+
+
+def register(handler: TypeHandler) -> None:
+    TYPES.insert(0, handler)
+
+
+def polars_types(polars: Any) -> list[TypeHandler]:
+    """Handlers of Polars' frames, eager and lazy, by way of Arrow."""
+
+    class PolarsFrames(TypeHandler):
+        kind = polars.DataFrame
+
+        def load(self, df: DataFrame) -> Any:
+            return polars.from_arrow(df.toArrow())
+
+        def store(self, spark: SparkSession, value: Any, schema: StructType | None) -> DataFrame:
+            return _created(spark, value.to_arrow(), schema)
+
+    class PolarsLazyFrames(PolarsFrames):
+        kind = polars.LazyFrame
+
+        def load(self, df: DataFrame) -> Any:
+            return super().load(df).lazy()
+
+        def store(self, spark: SparkSession, value: Any, schema: StructType | None) -> DataFrame:
+            return super().store(spark, value.collect(), schema)
+
+    return [PolarsFrames(), PolarsLazyFrames()]
+
+
+try:
+    import polars as _polars
+except ImportError:
+    pass
+else:
+    TYPES += polars_types(_polars)
 
 
 def convert(df: DataFrame, wanted: Any) -> Any:
     """``df`` as the wanted type; no annotation or Any means a DataFrame."""
     if wanted is None or wanted is Any:
         return df
-    for kind, make in CONVERTERS:
-        if isinstance(wanted, type) and issubclass(wanted, kind):
-            return make(df)
-    raise TypeError(f"can't load an input as {wanted!r}; known are {[k.__name__ for k, _ in CONVERTERS]}")
+    for handler in TYPES:
+        if handler.accepts(wanted):
+            return handler.load(df)
+    hint = "; install polars" if getattr(wanted, "__module__", "").startswith("polars") else ""
+    raise TypeError(f"can't load an input as {wanted!r}{hint}; known are {[h.kind.__name__ for h in TYPES]}")
 
 
 def to_frame(spark: SparkSession, value: Any, schema: StructType | None = None) -> DataFrame:
-    """A DataFrame from what a function returned: a DataFrame, pandas, Arrow, or a list of dicts."""
-    if isinstance(value, DataFrame):
-        return value
-    if isinstance(value, pa.RecordBatchReader):
-        value = value.read_all()
-    if isinstance(value, (pd.DataFrame, pa.Table)):
-        return spark.createDataFrame(value, schema) if schema is not None else spark.createDataFrame(value)
-    if isinstance(value, list) and (value or schema is not None):
-        return spark.createDataFrame(value, schema) if schema is not None else spark.createDataFrame(value)
+    """A DataFrame from what a function returned: a DataFrame, or what a type handler knows."""
+    for handler in TYPES:
+        if handler.accepts(type(value)):
+            return handler.store(spark, value, schema)
     raise TypeError(f"can't store a {type(value).__name__} as a table")
 
 

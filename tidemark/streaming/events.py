@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tidemark.functions.formats import nanos_to_micros
@@ -46,32 +44,23 @@ def sessions(events: DataFrame, gap: str = "1 hour") -> DataFrame:
     return events.groupBy(F.session_window("at", gap), "run_id").agg(F.count(F.lit(1)).alias("n")).select("run_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
-LATCH_STATE = "last_trigger long, last_reset long"
-LATCH_OUT = "code_location_id string, asset_key string, latched boolean, changed_at long"
-
-
 def since_latch(events: DataFrame, trigger: str, reset: str) -> DataFrame:
     """A latch per asset: on while the last trigger event is later than the last reset event; a reset wins a tie.
 
-    Emits a row per asset and micro-batch that had events for it. Order within a batch doesn't
-    matter, as the state is two maxima.
+    The state is two maxima, so order doesn't matter. In update mode it emits a row per asset and
+    micro-batch that had events for it: code_location_id, asset_key, latched, changed_at.
     """
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        on, off = state.get if state.exists else (-1, -1)
-        for rows in frames:
-            on = max(on, int(rows.loc[rows["event_type"] == trigger, "timestamp"].max(skipna=True)) if (rows["event_type"] == trigger).any() else on)
-            off = max(off, int(rows.loc[rows["event_type"] == reset, "timestamp"].max(skipna=True)) if (rows["event_type"] == reset).any() else off)
-        state.update((on, off))
-        yield pd.DataFrame([(key[0], key[1], on > off, max(on, off))], columns=["code_location_id", "asset_key", "latched", "changed_at"])
-
-    wanted = events.filter(F.col("event_type").isin(trigger, reset) & F.col("asset_key").isNotNull()).select(*ASSET, "event_type", "timestamp")
-    return wanted.groupBy(*ASSET).applyInPandasWithState(update, LATCH_OUT, LATCH_STATE, "append", GroupStateTimeout.NoTimeout)
+    wanted = events.filter(F.col("event_type").isin(trigger, reset) & F.col("asset_key").isNotNull())
+    last = lambda kind: F.coalesce(F.max(F.when(F.col("event_type") == kind, F.col("timestamp"))), F.lit(-1))
+    maxima = wanted.groupBy(*ASSET).agg(last(trigger).alias("on"), last(reset).alias("off"))
+    return maxima.select(*ASSET, (F.col("on") > F.col("off")).alias("latched"), F.greatest("on", "off").alias("changed_at"))
 
 
 def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str | None = None, mode: str = "append") -> StreamingQuery:
     """Process what is there in micro-batches and stop; a restart with the same checkpoint goes on from there."""
     place = checkpoint or f"{shared_dir(df.sparkSession)}/streams/{uuid.uuid4().hex}"
+    if isinstance(sink, CommittedSink):
+        sink.stream = place
     query = df.writeStream.outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
     return query
@@ -80,20 +69,17 @@ def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
 class CommittedSink:
     """Applies each micro-batch to a table once, even if the stream repeats it after a crash.
 
-    The batch's number is stored with the version that it made: a batch whose number is there is
-    skipped. Batches are planned (``apply``) and committed in one step, the table's own commit.
+    The stream (its checkpoint) and the batch's number are part of the commit that the batch made, also
+    if it changed no row: a batch that is there is skipped. Another stream has numbers of its own.
+    Batches are planned (``apply``) and committed in one step, the table's own commit.
     """
 
-    def __init__(self, table: VersionedTable, apply: Callable[[DataFrame], DataFrame], keys: list[str], clauses: str | list[Clause] = "upsert") -> None:
-        self.table, self.apply, self.keys, self.clauses = table, apply, keys, clauses
+    def __init__(self, table: VersionedTable, apply: Callable[[DataFrame], DataFrame], keys: list[str], clauses: str | list[Clause] = "upsert", stream: str = "") -> None:
+        self.table, self.apply, self.keys, self.clauses, self.stream = table, apply, keys, clauses, stream
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        rows = self.apply(batch).withColumn("batch_id", F.lit(number).cast("long"))
-        if self.table.exists():
-            last = self.table.read(columns=["batch_id"]).agg(F.max("batch_id")).first()[0]
-            if last is not None and last >= number:
-                return
-        self.table.write(rows, "merge", keys=self.keys, clauses=self.clauses)
+        if self.table.batches().get(self.stream, -1) < number:
+            self.table.write(self.apply(batch), "merge", keys=self.keys, clauses=self.clauses, batch=(self.stream, number))
 
 
 def asset_state_sink(table: VersionedTable) -> CommittedSink:
