@@ -44,6 +44,8 @@ DAY_US = 86_400_000_000
 
 def _day(text: str) -> tuple[int | None, int, int, str] | None:
     """(year or None, month, day, what follows) of the start of a written time."""
+    if (y := text[:4]).isdigit() and text[4:5] in ("-", "/") and text[10:11] in ("T", " ") and (m := text[5:7]).isdigit() and (d := text[8:10]).isdigit():
+        return int(y), int(m), int(d), text[11:]
     for pattern in _PARTS:
         if found := pattern.match(text):
             parts = found.groupdict()
@@ -72,7 +74,7 @@ def parse_time(text: str, near_ns: int | None) -> int | None:
     Digits beyond a microsecond are cut. No zone means UTC. Without a year, the year is taken that
     brings the time closest to ``near_ns``; with no such hint there is no time.
     """
-    if number := _NUMBER.match(text):
+    if text[:10].isdigit() and (number := _NUMBER.match(text)):
         whole, fraction, more = number.groups()
         return int(whole) * 1_000_000 + int(((fraction or more or "") + "000000")[:6])
     start = _day(text)

@@ -6,14 +6,17 @@ sequence is the constant part, the gaps are variable slots. Each task mines its
 templates of the tasks are merged in rounds by the same rule. What all message templates of such a
 cluster share is the layout of a program's lines; its slots are classified by type as time, level,
 component, other or message. Lines that don't follow it are split again until each follows a layout.
-Lines made of keys and values (JSON objects, key=value) are grouped by their set of keys, and a key
-is classified by the type of its values there. Entries are then cut and read by the layouts.
+Openings are clustered in the same way, so that a rare form of a program's opening (a name of
+several words in brackets) rests on the evidence of all forms. Lines made of keys and values (JSON
+objects, key=value) are sequences of keys, clustered by the same rule; a key is classified by the
+type of its values within its template. Entries are then cut and read by the layouts.
+
+A task hands its templates on whenever it holds ``HELD`` tokens, and starts anew: nothing is dropped.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
@@ -26,18 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.logtime import LETTER_TIME, LEVEL_LETTERS, LEVEL_OF, TIME, parse_time
-from tidemark.session import cut_lineage, shuffle_width
+from tidemark.session import cut_lineage, ship_package
 
 STREAMS = ("stdout", "stderr", "logs")
 GAP = "*"
-#: A level further right than this many tokens is not part of a line's opening.
-OPENING_TOKENS = 16
-#: Tokens after the level that take part in mining; a layout's own marks come before them.
-MINED_TOKENS = 12
-#: Message templates of one cluster; once there are so many, a line joins the most similar one.
-CLUSTER_TEMPLATES = 64
-#: Lines that a cluster needs to be a program's layout and not chance: a share of all candidate lines, but no
-#: more than ``MIN_LINES``. With fewer, from two on, it needs a time and two levels.
+#: Tokens of distinct sequences (and counts of keys) that a task holds before it hands its templates on.
+HELD = 2_000_000
+#: Lines that a cluster needs to be a program's layout and not chance: ``MIN_LINES``, or this share of all candidate
+#: lines if that is less. With fewer, from two on, a time and two levels do; an opening that is a time, marks and a
+#: level word, with no run of words that could be a sentence, needs no second line.
 MIN_SHARE = 0.0002
 MIN_LINES = 20
 #: Message templates that show the lines with a component of their own to be a program's.
@@ -56,6 +56,7 @@ _TOKEN = re.compile(rf"(?P<T>{TIME})|(?P<G>(?<![\S])[{LEVEL_LETTERS}](?={LETTER_
 _LETTER_TIME = re.compile(LETTER_TIME)
 _PAIR = re.compile(r'([A-Za-z_@][\w.@-]*)=("(?:[^"\\]|\\.)*(?:"|$)|[^\s"]*)(?:\s+|$)')
 _TIME = re.compile(rf"(?:{TIME})")
+_VALUE = re.compile(r"[_.:/$<\d]")
 _PLAIN_WORD = re.compile(r"[^\s\"{}\[\],;=]+")
 T, L, LETTER, G, N, V, W = "<T>", "<L>", "<l>", "<G>", "<N>", "<V>", "<W>"
 VARIABLE = (GAP, V)
@@ -111,31 +112,77 @@ def generalise(template: Sequence[str], tokens: Sequence[str]) -> list[str]:
     return found
 
 
-@dataclass
-class Cluster:
-    """Message templates of the lines that agree up to their level, each with its number of lines."""
+def lcs_length(masks: dict[str, int], size: int, tokens: Sequence[str]) -> int:
+    """The length of the longest common subsequence of a list of ``size`` constants, given as the bits of the
+    places of each, and a token list: bit-parallel, a few operations on one long integer per token."""
+    every = (1 << size) - 1
+    row = every
+    for token in tokens:
+        if here := masks.get(token):
+            hit = row & here
+            row = ((row + hit) | (row - hit)) & every
+    return size - row.bit_count()
 
-    templates: list[list] = field(default_factory=list)  # [tokens, lines]
-    masks: list[int] = field(default_factory=list)  # the levels of each template's lines, as bits
-    known: dict[tuple[str, ...], int] = field(default_factory=dict)
 
-    def add(self, tokens: tuple[str, ...], lines: int = 1, levels: int = 0) -> None:
-        at = self.known.get(tokens)
+class Cluster:
+    """Templates of like token sequences, each with its lines, their levels and the kinds of its keys' values."""
+
+    def __init__(self) -> None:
+        self.templates: list[list] = []  # [tokens, lines]
+        self.masks: list[int] = []  # the levels of each template's lines, as bits
+        self.kinds: list[dict[str, Counter]] = []
+        self.known: dict[tuple[str, ...], int] = {}
+        self._constants: list[int] = []
+        self._places: dict[str, list[int]] = defaultdict(list)  # the templates that have a constant, or once had
+
+    def closest(self, tokens: Sequence[str]) -> int | None:
+        """The template that shares the longest subsequence with some tokens, at least half of the constants of
+        either; the first of equals. Templates that share too few constants in any order are passed over."""
+        constants = [t for t in tokens if t not in VARIABLE]
+        shared: Counter = Counter()
+        for token, n in Counter(constants).items():
+            for i in self._places.get(token, ()):
+                shared[i] += n
+        masks: dict[str, int] = defaultdict(int)
+        for i, token in enumerate(constants):
+            masks[token] |= 1 << i
+        best, at = 0, None
+        for i, most in sorted(shared.items(), key=lambda x: (-x[1], x[0])):
+            if most < best:
+                break
+            need = max(len(constants), self._constants[i])
+            if 2 * most >= need:
+                score = lcs_length(masks, len(constants), self.templates[i][0])
+                if 2 * score >= need and (score > best or (score == best and (at is None or i < at))):
+                    best, at = score, i
+        return at
+
+    def hold(self, template: Sequence[str]) -> None:
+        """Take a template as it is."""
+        for token in {t for t in template if t not in VARIABLE}:
+            self._places[token].append(len(self.templates))
+        self.templates.append([list(template), 0])
+        self.masks.append(0)
+        self.kinds.append(defaultdict(Counter))
+        self._constants.append(sum(t not in VARIABLE for t in template))
+
+    def add(self, tokens: tuple[str, ...], lines: int = 1, levels: int = 0, kinds: dict[str, dict[str, int]] | None = None) -> int:
+        """Count lines under their template; returns how many tokens are held for the first time."""
+        held, at = 0, self.known.get(tokens)
         if at is None:
-            constants = sum(x not in VARIABLE for x in tokens)
-            score, at = max(((len(lcs(t, tokens)), -i) for i, (t, _) in enumerate(self.templates)), default=(0, 0))
-            at = -at
-            fits = self.templates and 2 * score >= max(constants, sum(x not in VARIABLE for x in self.templates[at][0]), 1)
-            if fits or len(self.templates) >= CLUSTER_TEMPLATES:
-                self.templates[at][0] = generalise(self.templates[at][0], tokens)
-            else:
+            held, at = len(tokens) + 1, self.closest(tokens)
+            if at is None:
                 at = len(self.templates)
-                self.templates.append([list(tokens), 0])
-                self.masks.append(0)
-            if len(self.known) < 100_000:
-                self.known[tokens] = at
+                self.hold(tokens)
+            else:
+                self.templates[at][0] = generalise(self.templates[at][0], tokens)
+                self._constants[at] = sum(t not in VARIABLE for t in self.templates[at][0])
+            self.known[tokens] = at
         self.templates[at][1] += lines
         self.masks[at] |= levels
+        for key, counts in (kinds or {}).items():
+            self.kinds[at][key].update(counts)
+        return held
 
 
 def tokenise(line: str) -> tuple[tuple[str, ...], tuple[str, ...], str] | None:
@@ -159,8 +206,6 @@ def tokenise(line: str) -> tuple[tuple[str, ...], tuple[str, ...], str] | None:
                 end += 1
             return tuple(opening), tuple(_after(line, end)), LEVEL_OF[text.lower()]
         opening.append(time_form(text) if kind == "T" else W if kind == "W" else N if kind == "N" else text)
-        if len(opening) > OPENING_TOKENS:
-            return None
     return None
 
 
@@ -169,11 +214,9 @@ def _after(line: str, start: int) -> list[str]:
     for found in _TOKEN.finditer(line, start):
         kind, text = found.lastgroup, found.group()
         if kind in ("W", "G"):
-            tokens.append(V if any(c in "_.:/$<" or c.isdigit() for c in text) else text)
+            tokens.append(V if _VALUE.search(text) else text)
         else:
             tokens.append(T if kind == "T" else N if kind == "N" else text)
-        if len(tokens) == MINED_TOKENS:
-            break
     return tokens
 
 
@@ -206,7 +249,7 @@ def pairs_of(line: str) -> tuple[str, list[tuple[str, str | None]]] | None:
         except (ValueError, RecursionError):
             return None
         return ("json", [(k, v if isinstance(v, str) else None) for k, v in found]) if found else None
-    if "=" not in line[:64]:
+    if "=" not in line:
         return None
     pairs, at = [], 0
     while at < len(line):
@@ -239,73 +282,104 @@ def lines_of(text: str) -> list[str]:
     return [line[:-1] if line.endswith("\r") else line for line in text.split("\n")]
 
 
-def mine_texts(texts: Iterator[str]) -> pd.DataFrame:
-    """Templates of the lines of some texts: syntax, cluster, template, lines, levels, candidates."""
-    clusters: dict[tuple, Cluster] = defaultdict(Cluster)
-    types: dict[tuple[str, str], Counter] = defaultdict(Counter)
-    sets: dict[tuple[str, tuple[str, ...]], Counter] = defaultdict(Counter)
-    total = 0
+SCHEMA = "syntax string, opening string, head string, template string, lines long, levels long, kinds string"
+COLUMNS = ["syntax", "opening", "head", "template", "lines", "levels", "kinds"]
+
+
+class Miner:
+    """Templates of lines: plain ones by opening and head, lines of keys and values by syntax, and their sets of keys."""
+
+    def __init__(self) -> None:
+        self.clusters: dict[tuple, Cluster] = defaultdict(Cluster)
+        self.sets: dict[tuple[str, tuple[str, ...]], Counter] = defaultdict(Counter)
+        self.total = self.held = 0
+
+    def add(self, line: str) -> None:
+        if keyed := pairs_of(line):
+            syntax, pairs = keyed
+            self.total += 1
+            found = self.sets[syntax, tuple(sorted({k for k, _ in pairs}))]
+            before = len(found)
+            kinds: dict[str, Counter] = defaultdict(Counter)
+            for key, value in pairs:
+                kind = value_type(value)
+                kinds[key][kind] += 1
+                found[key, kind] += 1
+            self.held += len(found) - before + self.clusters[syntax, (), ()].add(tuple(k for k, _ in pairs), 1, 0, kinds)
+        elif cut := tokenise(line):
+            self.total += 1
+            self.held += self.clusters["plain", cut[0], head_of(cut[1])].add(cut[1], 1, 1 << LEVEL_BIT[cut[2]])
+
+    def rows(self) -> pd.DataFrame:
+        rows = [
+            (syntax, json.dumps(opening), json.dumps(head), json.dumps(t), n, c.masks[i], json.dumps(c.kinds[i]) if c.kinds[i] else None)
+            for (syntax, opening, head), c in self.clusters.items()
+            for i, (t, n) in enumerate(c.templates)
+        ]
+        rows += [(f"{syntax} set", json.dumps(keys), "", json.dumps(pair), n, 0, None) for (syntax, keys), kinds in self.sets.items() for pair, n in kinds.items()]
+        rows.append(("total", "", "", "", self.total, 0, None))
+        return pd.DataFrame(rows, columns=COLUMNS)
+
+
+def mine_texts(texts: Iterator[str]) -> Iterator[pd.DataFrame]:
+    """Templates of the lines of some texts, in one part or more."""
+    miner = Miner()
     for text in texts:
         for raw in lines_of(text):
             line = COLOUR.sub("", raw) if "\x1b" in raw else raw
-            if not line or line[0].isspace():
-                continue
-            if keyed := pairs_of(line):
-                total += 1
-                found = sets[keyed[0], tuple(sorted({k for k, _ in keyed[1]}))]
-                for key, value in keyed[1]:
-                    kind = value_type(value)
-                    types[keyed[0], key][kind] += 1
-                    found[key, kind] += 1
-            elif cut := tokenise(line):
-                total += 1
-                clusters[cut[0], head_of(cut[1])].add(cut[1], 1, 1 << LEVEL_BIT[cut[2]])
-    rows = [("plain", json.dumps(key), json.dumps(t), n, m) for key, c in clusters.items() for (t, n), m in zip(c.templates, c.masks, strict=True)]
-    rows += [(syntax, key, kind, n, 0) for (syntax, key), kinds in types.items() for kind, n in kinds.items()]
-    rows += [(f"{syntax} set", json.dumps(keys), json.dumps(pair), n, 0) for (syntax, keys), kinds in sets.items() for pair, n in kinds.items()]
-    rows.append(("total", "", "", total, 0))
-    return pd.DataFrame(rows, columns=["syntax", "cluster", "template", "lines", "levels"])
-
-
-SCHEMA = "syntax string, cluster string, template string, lines long, levels long"
+            if line and not line[0].isspace():
+                miner.add(line)
+                if miner.held > HELD:
+                    yield miner.rows()
+                    miner = Miner()
+    yield miner.rows()
 
 
 def merge_templates(rows: pd.DataFrame) -> pd.DataFrame:
     """Merge the templates of one cluster that several tasks found."""
     first = rows.iloc[0]
     merged = Cluster()
-    for template, lines, levels in rows.sort_values(["lines", "template"], ascending=[False, True])[["template", "lines", "levels"]].itertuples(index=False):
-        merged.add(tuple(json.loads(template)), lines, levels)
-    out = [(first["syntax"], first["cluster"], json.dumps(t), n, m) for (t, n), m in zip(merged.templates, merged.masks, strict=True)]
-    return pd.DataFrame(out, columns=["syntax", "cluster", "template", "lines", "levels"])
+    for template, lines, levels, kinds in rows.sort_values(["lines", "template"], ascending=[False, True])[["template", "lines", "levels", "kinds"]].itertuples(index=False):
+        merged.add(tuple(json.loads(template)), lines, levels, json.loads(kinds) if kinds else None)
+    out = [
+        (first["syntax"], first["opening"], first["head"], json.dumps(t), n, m, json.dumps(k) if k else None)
+        for (t, n), m, k in zip(merged.templates, merged.masks, merged.kinds, strict=True)
+    ]
+    return pd.DataFrame(out, columns=COLUMNS)
 
 
 def mine_templates(logs: DataFrame, streams: Sequence[str] = STREAMS, fan_in: int = FAN_IN) -> DataFrame:
     """The templates of all lines: those of each task, merged cluster by cluster in rounds.
 
-    A round hands one call at most ``fan_in`` tasks' templates of a cluster, each at most
-    ``CLUSTER_TEMPLATES``; counts of key types are sums. Null and empty texts have no lines.
+    A round hands one call at most ``fan_in`` parts of a cluster: first the parts of one task, then
+    those of tasks. Counts of key sets are sums. Null and empty texts have no lines.
     """
+    ship_package(logs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         texts = (t for batch in batches for s in streams for t in batch[s] if isinstance(t, str) and t)
-        yield mine_texts(texts).assign(chunk=TaskContext.get().partitionId())
+        for number, rows in enumerate(mine_texts(texts)):
+            yield rows.assign(task=TaskContext.get().partitionId(), part=number)
 
-    # Stored once: templates and key counts both start from what the tasks found.
-    found = cut_lineage(logs.select(*streams).mapInPandas(run, f"{SCHEMA}, chunk int"))
-    counts = found.filter("syntax <> 'plain'").groupBy("syntax", "cluster", "template").agg(F.sum("lines").alias("lines"), F.lit(0).cast("long").alias("levels"))
-    plain = found.filter("syntax = 'plain'")
-    rounds = max(1, math.ceil(math.log(max(2, logs.rdd.getNumPartitions(), shuffle_width(logs.sparkSession)), fan_in) - 1e-9))
-    for step in range(rounds):
-        plain = plain.withColumn("chunk", F.floor(F.col("chunk") / fan_in).cast("int"))
+    # Stored once: templates and counts both start from what the tasks found.
+    found = cut_lineage(logs.select(*streams).mapInPandas(run, f"{SCHEMA}, task int, part int"))
+    mined = ~F.col("syntax").endswith(" set") & (F.col("syntax") != "total")
+    counts = found.filter(~mined).groupBy("syntax", "opening", "head", "template").agg(F.sum("lines").alias("lines"))
+    merged = found.filter(mined)
+    most = found.agg(F.max("part"), F.max("task")).first()
 
-        def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            return merge_templates(rows).assign(chunk=key[1])
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return merge_templates(rows).assign(task=key[3], part=key[4])
 
-        plain = plain.groupBy("cluster", "chunk").applyInPandas(fold, f"{SCHEMA}, chunk int")
-    return plain.drop("chunk").unionByName(counts)
+    for column, last in zip(("part", "task"), most, strict=True):
+        groups = (last or 0) + 1
+        while groups > 1:
+            groups = -(-groups // fan_in)
+            merged = merged.withColumn(column, F.floor(F.col(column) / fan_in).cast("int"))
+            merged = merged.groupBy("syntax", "opening", "head", "task", "part").applyInPandas(fold, f"{SCHEMA}, task int, part int")
+    return merged.drop("task", "part").unionByName(counts.withColumns({"levels": F.lit(0).cast("long"), "kinds": F.lit(None).cast("string")}))
 
 
 @dataclass
@@ -319,34 +393,87 @@ class Layout:
 
 @dataclass
 class Layouts:
+    #: Of programs with many lines, in the order in which they are tried.
     plain: list[Layout]
     #: By syntax: the keys that hold the level, the time, the component and the message, most used first.
     keyed: dict[str, dict[str, list[str]]]
     #: The same by syntax and set of keys, for the sets that occur often enough.
     sets: dict[tuple[str, frozenset[str]], dict[str, list[str]]] = field(default_factory=dict)
+    #: The same for the templates of key sequences that occur often enough.
+    templates: dict[str, list[tuple[list[str], dict[str, list[str]]]]] = field(default_factory=dict)
+    #: Layouts of programs with few lines, by opening: they are looked up, so any number costs the same.
+    rare: dict[tuple[str, ...], list[Layout]] = field(default_factory=dict)
 
 
 def follows(template: Sequence[str], header: Sequence[str]) -> bool:
     return len(template) >= len(header) and all(h == GAP or h == t for h, t in zip(header, template, strict=False))
 
 
-def layouts_of(opening: Sequence[str], heads: dict[tuple[str, ...], list[tuple[list[str], int, int]]], least: float) -> list[Layout]:
-    """The layouts of the lines with one opening; ``heads`` has their templates, lines and levels.
+def headers_of(heads: dict[tuple[str, ...], list[tuple[list[str], int, int]]], least: float) -> list[tuple[tuple[str, ...], int, int]]:
+    """(header, lines, levels) of the forms of the lines with one opening; ``heads`` has their templates, lines and levels.
 
     Lines with a component of their own right after the level are a program's if their messages vary;
-    all others are taken together. Of each, the lines that don't follow the layout found are split again.
+    all others are taken together. Of each, the lines that don't follow the header found are split again.
     """
     total = sum(n for templates in heads.values() for _, n, _ in templates)
     apart = [h for h, found in heads.items() if GAP in h and len(found) >= PROGRAM_TEMPLATES and least <= sum(n for _, n, _ in found) < AGREEMENT * total]
     groups = [heads[h] for h in apart] + [[t for h, found in heads.items() if h not in apart for t in found]]
-    layouts = []
+    headers = []
     for rest in groups:
         while rest:
             header = header_of([(t, n) for t, n, _ in rest])
             here = [t for t in rest if follows(t[0], header)]
-            layouts.append(layout_of(opening, header, here, least))
+            headers.append((header, sum(n for _, n, _ in here), reduce(or_, (m for _, _, m in here), 0)))
             rest = [t for t in rest if not follows(t[0], header)]
-    return [x for x in layouts if x]
+    return headers
+
+
+# Brackets and their partners.
+BRACKETS = {"[": "]", "(": ")", "<": ">", "{": "}"}
+
+
+def in_brackets(tokens: Sequence[str]) -> list[bool]:
+    """For each token whether it stands between a bracket and its partner."""
+    inside, close = [], None
+    for i, token in enumerate(tokens):
+        if close is not None and token == close:
+            close = None
+        inside.append(close is not None)
+        if close is None and token in BRACKETS and BRACKETS[token] in tokens[i + 1 :]:
+            close = BRACKETS[token]
+    return inside
+
+
+def same_program(a: Sequence[str], b: Sequence[str]) -> bool:
+    """Whether two openings are forms of one: all that isn't in brackets is in their longest common subsequence."""
+    bare = [[t for t, inside in zip(x, in_brackets(x), strict=True) if not inside] for x in (a, b)]
+    return bare[0] == bare[1] and Counter(lcs(a, b)) >= Counter(bare[0])
+
+
+def families_of(found: Sequence[tuple[tuple[str, ...], int, int]]) -> dict[tuple[str, ...], tuple[int, int]]:
+    """The lines and levels of each opening's family, by (opening, lines, levels); the heaviest opening begins one."""
+    families: dict[tuple[str, ...], list[list]] = defaultdict(list)
+    of: dict[tuple[str, ...], list] = {}
+    for opening, lines, levels in sorted(found, key=lambda x: (-x[1], x[0])):
+        bare = tuple(t for t, inside in zip(opening, in_brackets(opening), strict=True) if not inside)
+        family = next((f for f in families[bare] if same_program(f[0], opening)), None)
+        if family is None:
+            families[bare].append(family := [opening, 0, 0])
+        family[1] += lines
+        family[2] |= levels
+        of[opening] = family
+    return {opening: (f[1], f[2]) for opening, f in of.items()}
+
+
+def is_structured(opening: Sequence[str]) -> bool:
+    """A time, marks and a level word, in which no words follow one another but for two before a mark, as a host and a program."""
+    run = longest = 0
+    for i, token in enumerate(opening):
+        run = run + 1 if token == W else 0
+        followed = i + 1 < len(opening) and opening[i + 1] not in (W, N, L)
+        longest = max(longest, run - (run == 2 and followed))
+    first = 1 if opening[0] in BRACKETS else 0
+    return opening[first : first + 1] != () and is_time(opening[first]) and L in opening and longest <= 1
 
 
 def header_of(templates: Sequence[tuple[list[str], int]]) -> tuple[str, ...]:
@@ -390,15 +517,18 @@ def header_of(templates: Sequence[tuple[list[str], int]]) -> tuple[str, ...]:
     return max((c for c in candidates if support[c] >= AGREEMENT * total), key=lambda c: (len(c), c))
 
 
-def layout_of(opening: Sequence[str], header: Sequence[str], templates: Sequence[tuple[list[str], int, int]], least: float) -> Layout | None:
-    """The layout of an opening and what follows the level, or None if it has no level and more."""
-    total = sum(n for _, n, _ in templates)
-    levels = reduce(or_, (m for _, _, m in templates), 0)
+def layout_of(opening: Sequence[str], header: Sequence[str], lines: int, family: tuple[int, int], least: float) -> Layout | None:
+    """The layout of an opening and what follows the level, or None if it has no level and more.
+
+    ``family`` has the lines and levels of all forms of the opening.
+    """
+    support, levels = family[0], family[1].bit_count()
     tokens = [*opening, *(GAP if x == V else x for x in header)]
     mark = next(i for i, x in enumerate(tokens) if x in (L, LETTER, G))
     times = sum(map(is_time, tokens))
     timed = times == 1
-    if ((not timed or total < least) and levels.bit_count() < 2) or times > 1 or total < (2 if timed else least):
+    enough = support >= least or (support >= 2 and levels >= 2) or is_structured(opening) if timed else support >= least and levels >= 2
+    if times > 1 or not enough:
         return None
     component = component_slot(tokens, mark)
     if not timed and component is None:
@@ -421,7 +551,7 @@ def layout_of(opening: Sequence[str], header: Sequence[str], templates: Sequence
         else:
             part = re.escape(token)
         parts.append(part)
-    return Layout(r"[ \t]*".join(parts), total, len(tokens))
+    return Layout(r"[ \t]*".join(parts), lines, len(tokens))
 
 
 def component_slot(tokens: Sequence[str], level: int) -> int | None:
@@ -449,33 +579,65 @@ def component_slot(tokens: Sequence[str], level: int) -> int | None:
 def find_layouts(templates: DataFrame, min_share: float = MIN_SHARE) -> Layouts:
     """The layouts of mined templates.
 
-    What comes to the driver are the templates of clusters of two lines or more, at most
-    ``CLUSTER_TEMPLATES`` each, and the counts of keys and of sets of keys.
+    Headers are found opening by opening in the cluster. What comes to the driver are one row or a few
+    for each opening, the templates of key sequences, and the kinds of the key sets of ``MIN_LINES``
+    lines or more.
     """
+    ship_package(templates.sparkSession)
     templates = cut_lineage(templates)
     total = templates.filter("syntax = 'total'").agg(F.sum("lines")).first()[0] or 0
     least = max(2, min(total * min_share, MIN_LINES))
-    size = templates.filter("syntax <> 'total'").groupBy("syntax", "cluster").agg(F.sum("lines").alias("__n")).filter(F.col("__n") >= 2)
-    rows = templates.join(size, ["syntax", "cluster"]).collect()
-    clusters: dict[tuple, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
-    types: dict[tuple[str, str], Counter] = defaultdict(Counter)
+
+    def headers(rows: pd.DataFrame) -> pd.DataFrame:
+        heads: dict[tuple, list] = defaultdict(list)
+        for head, template, lines, levels in rows.sort_values(["head", "template"])[["head", "template", "lines", "levels"]].itertuples(index=False):
+            heads[tuple(json.loads(head))].append((json.loads(template), int(lines), int(levels)))
+        return pd.DataFrame([(rows["opening"].iloc[0], json.dumps(h), n, m) for h, n, m in headers_of(heads, least)], columns=["opening", "header", "lines", "levels"])
+
+    found = templates.filter("syntax = 'plain'").groupBy("opening").applyInPandas(headers, "opening string, header string, lines long, levels long").collect()
+    candidates = sorted((tuple(json.loads(r["opening"])), tuple(json.loads(r["header"])), r["lines"], r["levels"]) for r in found)
+    sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0])
+    for opening, _, lines, levels in candidates:
+        sums[opening][0] += lines
+        sums[opening][1] |= levels
+    pooled = families_of([(opening, *x) for opening, x in sums.items()])
+    plain, rare = [], defaultdict(list)
+    for opening, header, lines, levels in candidates:
+        # An opening in a form of its own has its own evidence; one of a family of forms has that of all.
+        family = pooled[opening]
+        evidence = (lines, levels) if family == tuple(sums[opening]) else family
+        if layout := layout_of(opening, header, lines, evidence, least):
+            if lines >= least:
+                plain.append(layout)
+            else:
+                rare[opening].append(layout)
+    order = lambda x: (-x.tokens, -x.lines, x.pattern)
+
+    by_syntax: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+    of_template: dict[str, list[tuple[list[str], dict[str, list[str]]]]] = defaultdict(list)
+    for r in templates.filter("kinds IS NOT NULL").orderBy(F.desc("lines"), "template").collect():
+        kinds = {key: Counter(n) for key, n in json.loads(r["kinds"]).items()}
+        for key, counts in kinds.items():
+            by_syntax[r["syntax"]][key].update(counts)
+        if r["lines"] >= MIN_LINES:
+            of_template[r["syntax"]].append((json.loads(r["template"]), kinds_of(kinds)))
+    keyed = {syntax: kinds_of(kinds) for syntax, kinds in by_syntax.items()}
+    rows = templates.filter(F.col("syntax").endswith(" set"))
+    often = rows.groupBy("syntax", "opening").agg(F.max("lines").alias("__n")).filter(F.col("__n") >= MIN_LINES)
     sets: dict[tuple[str, frozenset[str]], dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
-    for r in rows:
-        if r["syntax"] == "plain":
-            opening, head = json.loads(r["cluster"])
-            clusters[tuple(opening)][tuple(head)].append((json.loads(r["template"]), r["lines"], r["levels"]))
-        elif r["syntax"].endswith(" set"):
-            key, kind = json.loads(r["template"])
-            sets[r["syntax"].removesuffix(" set"), frozenset(json.loads(r["cluster"]))][key][kind] += r["lines"]
-        else:
-            types[r["syntax"], r["cluster"]][r["template"]] += r["lines"]
-    plain = [layout for opening, heads in clusters.items() for layout in layouts_of(opening, heads, least)]
-    keyed: dict[str, dict[str, list[str]]] = {}
-    for (syntax, key), kinds in sorted(types.items(), key=lambda x: (-sum(x[1].values()), x[0])):
-        keyed.setdefault(syntax, {}).setdefault(key_kind(key, kinds), []).append(key)
-    often = {k: found for k, found in sets.items() if max(sum(c.values()) for c in found.values()) >= MIN_LINES}
-    own = {k: set_kinds(found, keyed.get(k[0], {})) for k, found in often.items()}
-    return Layouts(sorted(plain, key=lambda x: (-x.tokens, -x.lines, x.pattern)), keyed, own)
+    for r in rows.join(often, ["syntax", "opening"], "left_semi").collect():
+        key, kind = json.loads(r["template"])
+        sets[r["syntax"].removesuffix(" set"), frozenset(json.loads(r["opening"]))][key][kind] += r["lines"]
+    own = {k: set_kinds(counts, keyed.get(k[0], {})) for k, counts in sets.items()}
+    return Layouts(sorted(plain, key=order), keyed, own, dict(of_template), {k: sorted(v, key=order) for k, v in rare.items()})
+
+
+def kinds_of(counts: dict[str, Counter]) -> dict[str, list[str]]:
+    """The keys by kind, most used first."""
+    out: dict[str, list[str]] = {}
+    for key, found in sorted(counts.items(), key=lambda x: (-sum(x[1].values()), x[0])):
+        out.setdefault(key_kind(key, found), []).append(key)
+    return out
 
 
 def key_kind(key: str, kinds: Counter) -> str:
@@ -501,8 +663,27 @@ class Reader:
     """Reads the opening of a line by the layouts found."""
 
     def __init__(self, layouts: Layouts) -> None:
-        self.plain = [re.compile(x.pattern) for x in layouts.plain]
         self.keyed, self.sets = layouts.keyed, layouts.sets
+        # All layouts as one pattern: of those that match the first counts, as if tried one by one.
+        self.pattern, self.groups = self._joined(layouts.plain)
+        self.rare = {opening: self._joined(found) for opening, found in layouts.rare.items()}
+        self.sequences: dict[str, tuple[Cluster, list[dict[str, list[str]]]]] = {}
+        for syntax, found in layouts.templates.items():
+            cluster = Cluster()
+            for template, _ in found:
+                cluster.hold(template)
+            self.sequences[syntax] = cluster, [kinds for _, kinds in found]
+        self._kinds: dict[tuple, dict[str, list[str]]] = {}
+
+    @staticmethod
+    def _joined(layouts: Sequence[Layout]) -> tuple[re.Pattern | None, dict[str, tuple[int | None, int, int | None]]]:
+        """One pattern for several layouts, and the numbers of the groups of each by the name of its last group."""
+        if not layouts:
+            return None, {}
+        named = [re.sub(r"\(\?P<(time|level|component)>", rf"(?P<\g<1>{i}>", x.pattern) + f"(?P<end{i}>)" for i, x in enumerate(layouts)]
+        pattern = re.compile("|".join(f"(?:{x})" for x in named))
+        at = pattern.groupindex
+        return pattern, {f"end{i}": (at.get(f"time{i}"), at[f"level{i}"], at.get(f"component{i}")) for i in range(len(layouts))}
 
     def opening(self, line: str, near_ns: int | None) -> tuple[int, str, str, str] | None:
         """(time or -1, level, component, message) if an entry begins at the line."""
@@ -510,18 +691,34 @@ class Reader:
             return None
         if keyed := pairs_of(line):
             return self._of_pairs(*keyed, near_ns)
-        for pattern in self.plain:
-            if found := pattern.match(line):
-                groups = found.groupdict()
-                at = parse_time(groups["time"], near_ns) if groups.get("time") else None
-                return -1 if at is None else at, LEVEL_OF[groups["level"].lower()], groups.get("component") or "", line[found.end() :].lstrip(" \t")
-        return None
+        found, groups = self.pattern.match(line) if self.pattern else None, self.groups
+        if found is None and self.rare and (cut := tokenise(line)) and cut[0] in self.rare:
+            pattern, groups = self.rare[cut[0]]
+            found = pattern.match(line)
+        if found is None:
+            return None
+        time, level, component = groups[found.lastgroup]
+        at = parse_time(found[time], near_ns) if time else None
+        return -1 if at is None else at, LEVEL_OF[found[level].lower()], (found[component] if component else "") or "", line[found.end() :].lstrip(" \t")
+
+    def _kinds_of(self, syntax: str, keys: tuple[str, ...]) -> dict[str, list[str]]:
+        """The keys by kind: of the set of keys, else of the closest template of key sequences, else of the syntax."""
+        if (syntax, keys) not in self._kinds:
+            if len(self._kinds) >= 100_000:
+                self._kinds.clear()
+            kinds = self.sets.get((syntax, frozenset(keys)))
+            if kinds is None and syntax in self.sequences:
+                cluster, of_template = self.sequences[syntax]
+                at = cluster.closest(keys)
+                kinds = None if at is None else of_template[at]
+            self._kinds[syntax, keys] = self.keyed.get(syntax, {}) if kinds is None else kinds
+        return self._kinds[syntax, keys]
 
     def _of_pairs(self, syntax: str, pairs: list[tuple[str, str | None]], near_ns: int | None) -> tuple[int, str, str, str] | None:
         values: dict[str, str | None] = {}
         for key, value in pairs:
             values.setdefault(key, value)
-        kinds = self.sets.get((syntax, frozenset(values)), self.keyed.get(syntax, {}))
+        kinds = self._kinds_of(syntax, tuple(k for k, _ in pairs))
 
         def first(kind: str) -> str | None:
             return next((values[k] for k in kinds.get(kind, ()) if values.get(k)), None)
@@ -561,6 +758,7 @@ def parse_entries(logs: DataFrame, layouts: Layouts, record: str = "log_id", tim
     n_lines counts its lines that aren't blank; ts_us is -1 without a time, component '' if there is
     none. Records repeated with the same content come out once. Null and empty streams have no entry.
     """
+    ship_package(logs.sparkSession)
     columns = ["record", "stream", "line_no", "n_lines", "ts_us", "level", "component", *(["message"] if message else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
