@@ -399,8 +399,8 @@ class Layouts:
     keyed: dict[str, dict[str, list[str]]]
     #: The same by syntax and set of keys, for the sets that occur often enough.
     sets: dict[tuple[str, frozenset[str]], dict[str, list[str]]] = field(default_factory=dict)
-    #: The same for the templates of key sequences that occur often enough.
-    templates: dict[str, list[tuple[list[str], dict[str, list[str]]]]] = field(default_factory=dict)
+    #: By syntax: templates of key sequences, each with the kind of those of its keys that occur often enough.
+    templates: dict[str, list[tuple[list[str], dict[str, str]]]] = field(default_factory=dict)
     #: Layouts of programs with few lines, by opening: they are looked up, so any number costs the same.
     rare: dict[tuple[str, ...], list[Layout]] = field(default_factory=dict)
 
@@ -559,15 +559,17 @@ def component_slot(tokens: Sequence[str], level: int) -> int | None:
 
     A word before a bracketed number is a program; of words joined by colons the first is the module
     and the rest are function and line; a word right after the time that another word follows is the
-    host.
+    host. A name of several words in brackets isn't one.
     """
     best, slot = 0, None
+    inside = in_brackets(tokens)
     for i, token in enumerate(tokens):
         if token not in (W, GAP):
             continue
         before, after = tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < len(tokens) else ""
+        phrase = inside[i] and any(inside[j] and tokens[j] in (W, GAP, N) for j in (i - 1, i + 1) if 0 <= j < len(tokens))
         chained = before == ":" and i >= 2 and tokens[i - 2] in (W, GAP)
-        if chained or (is_time(before) and after in (W, GAP)):
+        if chained or phrase or (is_time(before) and after in (W, GAP)):
             continue
         program = after == "[" and list(tokens[i + 2 : i + 4]) == [N, "]"]
         score = 4 if program else 3 if i > level and after else 2
@@ -614,13 +616,14 @@ def find_layouts(templates: DataFrame, min_share: float = MIN_SHARE) -> Layouts:
     order = lambda x: (-x.tokens, -x.lines, x.pattern)
 
     by_syntax: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
-    of_template: dict[str, list[tuple[list[str], dict[str, list[str]]]]] = defaultdict(list)
+    of_template: dict[str, list[tuple[list[str], dict[str, str]]]] = defaultdict(list)
     for r in templates.filter("kinds IS NOT NULL").orderBy(F.desc("lines"), "template").collect():
         kinds = {key: Counter(n) for key, n in json.loads(r["kinds"]).items()}
         for key, counts in kinds.items():
             by_syntax[r["syntax"]][key].update(counts)
         if r["lines"] >= MIN_LINES:
-            of_template[r["syntax"]].append((json.loads(r["template"]), kinds_of(kinds)))
+            own = {key: key_kind(key, n) for key, n in kinds.items() if sum(n.values()) >= MIN_LINES}
+            of_template[r["syntax"]].append((json.loads(r["template"]), own))
     keyed = {syntax: kinds_of(kinds) for syntax, kinds in by_syntax.items()}
     rows = templates.filter(F.col("syntax").endswith(" set"))
     often = rows.groupBy("syntax", "opening").agg(F.max("lines").alias("__n")).filter(F.col("__n") >= MIN_LINES)
@@ -667,7 +670,9 @@ class Reader:
         # All layouts as one pattern: of those that match the first counts, as if tried one by one.
         self.pattern, self.groups = self._joined(layouts.plain)
         self.rare = {opening: self._joined(found) for opening, found in layouts.rare.items()}
-        self.sequences: dict[str, tuple[Cluster, list[dict[str, list[str]]]]] = {}
+        # By syntax the keys with their kind, most used first.
+        self.everywhere = {s: {key: (i, kind) for kind, keys in kinds.items() for i, key in enumerate(keys)} for s, kinds in self.keyed.items()}
+        self.sequences: dict[str, tuple[Cluster, list[dict[str, str]]]] = {}
         for syntax, found in layouts.templates.items():
             cluster = Cluster()
             for template, _ in found:
@@ -702,16 +707,18 @@ class Reader:
         return -1 if at is None else at, LEVEL_OF[found[level].lower()], (found[component] if component else "") or "", line[found.end() :].lstrip(" \t")
 
     def _kinds_of(self, syntax: str, keys: tuple[str, ...]) -> dict[str, list[str]]:
-        """The keys by kind: of the set of keys, else of the closest template of key sequences, else of the syntax."""
+        """The keys by kind: of their set, else each of the closest template of key sequences, else of the syntax."""
         if (syntax, keys) not in self._kinds:
             if len(self._kinds) >= 100_000:
                 self._kinds.clear()
             kinds = self.sets.get((syntax, frozenset(keys)))
-            if kinds is None and syntax in self.sequences:
-                cluster, of_template = self.sequences[syntax]
-                at = cluster.closest(keys)
-                kinds = None if at is None else of_template[at]
-            self._kinds[syntax, keys] = self.keyed.get(syntax, {}) if kinds is None else kinds
+            if kinds is None:
+                cluster, of_template = self.sequences.get(syntax, (Cluster(), []))
+                at, known = cluster.closest(keys), self.everywhere.get(syntax, {})
+                own, kinds = {} if at is None else of_template[at], {}
+                for key in sorted(set(keys), key=lambda k: (known.get(k, (len(known),))[0], k)):
+                    kinds.setdefault(own.get(key) or known.get(key, (0, "other"))[1], []).append(key)
+            self._kinds[syntax, keys] = kinds
         return self._kinds[syntax, keys]
 
     def _of_pairs(self, syntax: str, pairs: list[tuple[str, str | None]], near_ns: int | None) -> tuple[int, str, str, str] | None:
