@@ -53,6 +53,24 @@ def test_percentiles_within_the_stated_error_with_a_hot_key(spark, monkeypatch):
     check_percentiles(spark, data + data[:500], 0.02)
 
 
+def test_parts_of_a_task_meet_before_tasks_do(spark):
+    r = random.Random(8)
+    data = [("hot" if i % 3 else "cold", 5, r.randint(0, 10**6)) for i in range(6_000)]
+    values = spark.createDataFrame(data, "key string, day int, value long").repartition(3)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, "200")
+    parts = quantiles.leaf_summaries(values, 0.01, chunk_rows=500).groupBy("key", "chunk").agg(F.count_distinct("part").alias("n"), F.count(F.lit(1)).alias("rows"))
+    assert all(p.n == p.rows > 1 for p in parts.collect())
+    got = quantiles.read_percentiles(quantiles.day_summaries(values, 0.02, fan_in=2, chunk_rows=500), [50, 99]).collect()
+    spark.conf.unset(batch)
+    assert len(got) == 2 and quantiles.rounds_of(1, 2) == 0 and quantiles.rounds_of(17, 16) == 2
+    for row in got:
+        ordered = sorted(v for k, _, v in data if k == row.key)
+        assert row.n == len(ordered) and row.max_rank_error <= 0.02 * row.n
+        for p in (50, 99):
+            assert abs(bisect.bisect_left(ordered, row[f"p{p}"]) + 1 - -(-row.n * p // 100)) <= row.max_rank_error + 1
+
+
 def test_percentiles_of_nulls_negatives_and_ties(spark):
     data = [(1, "a", 0, None), (2, "a", 0, -5), (3, "a", 0, 7), (3, "a", 0, 7), (4, "a", -1, 7), (5, None, 0, 1), (6, "b", None, 1), (7, "c", 0, 2**62), (8, "d", 0, None)]
     check_percentiles(spark, data, 0.01)
@@ -181,6 +199,9 @@ def test_packing_under_every_constraint(spark, score):
     check_containers(packing.pack(df, limits=limits), items, limits)
     with pytest.raises(ValueError):
         packing.plan({300: 1}, limits)
+    assert limits.piece() == 109
+    long = spark.createDataFrame([(1, 250), (2, 3), (3, 110)], "doc_id long, n_tokens long")
+    assert rows(packing.pack(long, limits=limits), "doc_id", "piece", "size") == [(1, 0, 109), (1, 1, 109), (1, 2, 32), (2, 0, 3), (3, 0, 109), (3, 1, 1)]
 
 
 @settings(max_examples=60, deadline=None)
@@ -225,7 +246,7 @@ def test_subjects_on_held_out_documents(spark):
     named = spark.createDataFrame([(s,) for s in [*TERMS, *TERMS]], "subject string")
     label_frame = spark.createDataFrame([*labels, (None, "law"), (1, "nonsense"), (77_777, "law")], "doc_id long, subject string")
     got = defaultdict(set)
-    for r in subjects.assign_subjects(frame, label_frame, named, ["source"]).collect():
+    for r in subjects.assign_subjects(frame, label_frame, named, ["source"], "software", whole=True).collect():
         assert 0 <= r.posterior <= 1
         got[r.doc_id].add(r.subject)
     held = [i for i in truth if i >= 500]
@@ -236,9 +257,41 @@ def test_subjects_on_held_out_documents(spark):
     assert got[10_004] == got[10_005] == {"software"} and got[10_006]
 
 
+def test_composition_sums_all_posteriors(spark):
+    docs, truth = corpus(900, 11)
+    frame = spark.createDataFrame([*docs, (5_000, " ", "mail:x", "en")], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, s) for i in range(300) for s in truth[i]], "doc_id long, subject string")
+    named = spark.createDataFrame([(s,) for s in TERMS], "subject string")
+    every = subjects.assign_subjects(frame, labels, named, ["lang"], "software", threshold=0.0)
+    want = {r.subject: (r.n, round(r.e, 6)) for r in every.groupBy("subject").agg(F.count_if(F.col("posterior") >= 0.5).alias("n"), F.sum("posterior").alias("e")).collect()}
+    assert every.count() == 900 * 3 and want["law"][1] > 0
+    got = subjects.compose_subjects(frame, labels, named, ["lang"], "software").collect()
+    assert {r.subject: (r.n_documents, round(r.expected_documents, 6)) for r in got} == want and {r.lang for r in got} == {"en"}
+    assert subjects.compose_subjects(frame, labels, named.limit(0), ["lang"]).count() == 0
+
+
+def test_each_subject_is_calibrated_by_itself():
+    r = np.random.default_rng(3)
+    truth = (r.random((4_000, 3)) < [0.5, 0.1, 0.3]).astype(int)
+    # The first subject is seldom mentioned in passing, the third often: the same votes mean less for it.
+    passing = r.random(truth.shape) < [0.02, 0.2, 0.6]
+    votes = np.column_stack([truth * r.integers(1, 4, truth.shape) + passing * r.integers(1, 4, truth.shape), r.integers(0, 4, 4_000)]).astype(float)
+    fitted, fresh = slice(0, 2_000), slice(2_000, None)
+    weights = subjects.calibrate(votes[fitted], truth[fitted], None)
+    error = lambda p: [subjects.calibration_error(p[:, c], truth[fresh][:, c]) for c in range(3)]
+    own = error(subjects.posteriors(votes[fresh], weights, None))
+    x = subjects.vote_features(votes[fitted], None)
+    pooled = subjects.fit_logistic(x.reshape(-1, x.shape[-1]), truth[fitted].reshape(-1).astype(float))
+    assert max(own) < 0.05 and sum(own) < 0.7 * sum(error(subjects.posteriors(votes[fresh], np.tile(pooled, (3, 1)), None)))
+    assert subjects.calibration_error(np.array([0.5, 0.5]), np.array([1, 0])) == 0 and subjects.calibration_error(np.array([1.0]), np.array([0])) == 1
+
+
 def test_subjects_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "some words"), (1, "some words")], "doc_id long, text string")
     labels, named = spark.createDataFrame([], "doc_id long, subject string"), spark.createDataFrame([("law",), ("software",)], "subject string")
-    assert rows(subjects.assign_subjects(docs, labels, named), "doc_id", "subject") == [(1, "software")] * 2
-    assert subjects.assign_subjects(docs.limit(0), labels, named).count() == 0
-    assert subjects.assign_subjects(docs, labels, named.limit(0)).count() == 0
+    assert rows(subjects.assign_subjects(docs, labels, named, fallback="software"), "doc_id", "subject") == [(1, "software")] * 2
+    assert subjects.assign_subjects(docs, labels, named).count() == 0
+    assert subjects.assign_subjects(docs.limit(0), labels, named, fallback="software").count() == 0
+    assert subjects.assign_subjects(docs, labels, named.limit(0), fallback="software").count() == 0
+    one = spark.createDataFrame([(1, "law")], "doc_id long, subject string")
+    assert subjects.assign_subjects(docs, one, named, whole=True).count() >= 2 and subjects.compose_subjects(docs, one, named, ["doc_id"]).count() >= 1

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,19 +26,24 @@ from tidemark.session import cut_lineage, shuffle_width
 class Limits:
     """Capacities of a container and the weights of its residuals in the choice of a container.
 
-    ``attention`` bounds the sum of squared sizes (the cost of attention within items). The
-    defaults of ``documents`` and ``attention`` bind no sooner than the tokens do.
+    ``attention`` bounds the sum of squared sizes (the cost of attention within items). Without them,
+    ``documents`` and ``attention`` bind no sooner than the tokens do, but their residuals still weigh
+    in the choice. An item exceeds the capacity if it is above ``piece``, and is then split.
     """
 
     tokens: int = 2048
     documents: int | None = None
     attention: int | None = None
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.5, 0.5)
     score: str = "norm"
 
     def vector(self) -> tuple[int, int, int]:
         return self.tokens, self.documents or self.tokens, self.attention or self.tokens * self.tokens
 
+    def piece(self) -> int:
+        """The largest size that fits an empty container under every constraint."""
+        return min(self.tokens, isqrt(self.vector()[2]))
+
 
 @dataclass
 class Run:
@@ -64,7 +70,7 @@ def plan(histogram: Mapping[int, int], limits: Limits) -> list[Run]:
     about two for each class.
     """
     capacity = np.array(limits.vector(), dtype=np.int64)
-    if any(size < 1 or size > limits.tokens or size * size > capacity[2] for size in histogram):
+    if any(size < 1 or size > limits.piece() for size in histogram):
         raise ValueError("an item exceeds the capacity: split it first")
     weights = np.array(limits.weights)
     groups = Groups()
@@ -145,7 +151,7 @@ def split_items(items: DataFrame, key: str, size: str, capacity: int) -> DataFra
 def pack(items: DataFrame, key: str = "doc_id", size: str = "n_tokens", limits: Limits | None = None) -> DataFrame:
     """Put items into containers: container, key, piece, size.
 
-    Every item of size 1 or more comes out once, or in pieces if it is above the token capacity;
+    Every item of size 1 or more comes out once, or in pieces if it is above the capacity (``Limits.piece``);
     containers are numbered from 0 without gaps. Null sizes and sizes below 1 hold nothing and have
     no row; rows that repeat a key are items of their own. An empty input gives no rows.
 
@@ -155,7 +161,7 @@ def pack(items: DataFrame, key: str = "doc_id", size: str = "n_tokens", limits:
     limits = limits or Limits()
     spark = items.sparkSession
     parts = shuffle_width(spark)
-    pieces = split_items(items, key, size, limits.tokens).withColumn("__part", F.pmod(F.xxhash64(key, "piece"), F.lit(parts)).cast("int"))
+    pieces = split_items(items, key, size, limits.piece()).withColumn("__part", F.pmod(F.xxhash64(key, "piece"), F.lit(parts)).cast("int"))
     stored = cut_lineage(pieces)
     by_part = stored.groupBy("size", "__part").agg(F.count(F.lit(1)).alias("__n"))
     histogram = {r["size"]: r["n"] for r in by_part.groupBy("size").agg(F.sum("__n").alias("n")).collect()}

@@ -10,7 +10,6 @@ partition, rounds of chunks into a day, rounds of days into a key.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage, shuffle_width
+from tidemark.session import cut_lineage, ship_package
 
 #: Stated rank error of the results, as a share of the number of values.
 EPSILON = 0.005
@@ -76,7 +75,10 @@ def merge_all(group: np.ndarray, source: np.ndarray, v: np.ndarray, g: np.ndarra
 
 
 def leaf_summaries(values: DataFrame, epsilon: float, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Summaries of the values that each task holds, by (key, day); ``values`` has key, day, value."""
+    """Summaries of the values that each task holds, by (key, day); ``values`` has key, day, value.
+
+    A task that holds more than ``chunk_rows`` values makes several, numbered by ``part``.
+    """
 
     def flush(parts: list[pa.RecordBatch], chunk: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts)
@@ -97,18 +99,23 @@ def leaf_summaries(values: DataFrame, epsilon: float, chunk_rows: int = CHUNK_RO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk, parts, held = TaskContext.get().partitionId(), [], 0
+        chunk, part, parts, held = TaskContext.get().partitionId(), 0, [], 0
+
+        def numbered() -> pa.RecordBatch:
+            one = flush(parts, chunk)
+            return one.append_column("part", pa.array(np.full(one.num_rows, part, dtype=np.int32)))
+
         for one in batches:
             if one.num_rows:
                 parts.append(one)
                 held += one.num_rows
             if held >= chunk_rows:
-                yield flush(parts, chunk)
-                parts, held = [], 0
+                yield numbered()
+                part, parts, held = part + 1, [], 0
         if held:
-            yield flush(parts, chunk)
+            yield numbered()
 
-    return values.select("key", "day", "value").mapInArrow(run, f"key string, day int, chunk int, {SUMMARY}")
+    return values.select("key", "day", "value").mapInArrow(run, f"key string, day int, chunk int, {SUMMARY}, part int")
 
 
 def batch(keys: pa.Array, day: np.ndarray, chunk: np.ndarray, n: np.ndarray, group: np.ndarray, v: np.ndarray, g: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
@@ -169,23 +176,33 @@ def day_summaries(values: DataFrame, epsilon: float = EPSILON / 2, fan_in: int =
     ``values`` has key (string), day (int, days since 1970) and value (long), none of them null. An
     empty table gives no rows.
     """
-    rounds = max(1, math.ceil(math.log(max(2, shuffle_width(values.sparkSession)), fan_in) - 1e-9))
-    found, error = leaf_summaries(values, epsilon / 2, chunk_rows), epsilon / 2
-    for step in range(rounds):
-        last = step == rounds - 1
-        wider = epsilon if last else error + epsilon / 2 / rounds
-        found = merge_round(found, F.col("day"), F.lit(0) if last else F.floor(F.col("chunk") / fan_in), error, wider)
+    leaves = cut_lineage(leaf_summaries(values, epsilon / 2, chunk_rows))
+    tasks, parts = (1 + (x or 0) for x in leaves.agg(F.max("chunk"), F.max("part")).first())
+    # First the parts of each task meet, then the tasks: a call gets at most ``fan_in`` summaries of a (key, day).
+    found, error = leaves.withColumn("chunk", F.col("part") * tasks + F.col("chunk")), epsilon / 2
+    steps = [F.floor(F.floor(F.col("chunk") / tasks) / fan_in) * tasks + F.col("chunk") % tasks] * rounds_of(parts, fan_in) + [F.floor(F.col("chunk") / fan_in)] * max(1, rounds_of(tasks, fan_in))
+    for step, chunk in enumerate(steps, 1):
+        wider = epsilon if step == len(steps) else error + epsilon / 2 / len(steps)
+        found = merge_round(found, F.col("day"), chunk, error, wider)
         error = wider
     return found
 
 
+def rounds_of(many: int, fan_in: int) -> int:
+    """How often groups of ``fan_in`` are merged until one is left."""
+    rounds = 0
+    while many > 1:
+        many, rounds = -(-many // fan_in), rounds + 1
+    return rounds
+
+
 def merge_days(days: DataFrame, before: float = EPSILON / 2, after: float = EPSILON, fan_in: int = FAN_IN) -> DataFrame:
     """Merge day summaries of error ``before`` into one for each key, of error ``after``.
 
     Days meet in rounds of ``fan_in`` neighbouring days, so no task gets all summaries of a key.
     """
     low, high = days.agg(F.min("day"), F.max("day")).first()
-    rounds = max(1, math.ceil(math.log(max(2, (high or 0) - (low or 0) + 1), fan_in) - 1e-9))
+    rounds = max(1, rounds_of((high or 0) - (low or 0) + 1, fan_in))
     found, error = days.withColumn("day", F.col("day") - F.lit(low or 0)), before
     for step in range(rounds):
         last = step == rounds - 1
@@ -234,6 +251,7 @@ def percentile_table(
     are left out; repeated values count as often as they occur. An empty input gives no rows. The
     days' summaries are stored (checkpoint) and merged into those of the keys.
     """
+    ship_package(rows.sparkSession)
     kept = rows.filter(F.col(value).isNotNull() & (F.col(value) >= 0) & F.col(key).isNotNull() & F.col(timestamp).isNotNull())
     day = F.floor(F.col(timestamp) / F.lit(86_400_000_000_000)).cast("int")
     values = kept.select(F.col(record), F.col(key).cast("string").alias("key"), day.alias("day"), F.col(value).cast("long").alias("value")).distinct()
@@ -241,3 +259,20 @@ def percentile_table(
     both = read_percentiles(days, percents).unionByName(read_percentiles(merge_days(days, epsilon / 2, epsilon), percents))
     period = F.when(F.col("day") == NO_DAY, "").otherwise(F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")), "yyyy-MM-dd"))
     return both.select(F.col("key").alias(key), period.alias("period"), "n", *(f"p{p}" for p in percents), "max_rank_error")
+
+
+def rank_distances(answers: DataFrame, values: DataFrame, key: str, percents: Sequence[int] = (50, 90, 95, 99)) -> DataFrame:
+    """How many ranks each answer of a percentile table is off, against all values: <key>, period, n, percent, distance.
+
+    ``values`` has the key, period and value of every number that was summarised. The distance is 0 if
+    the answer is the value at rank ceil(n * percent / 100).
+    """
+    long = answers.select(key, "period", "n", F.explode(F.array(*(F.struct(F.lit(p).alias("percent"), F.col(f"p{p}").alias("answer")) for p in percents))).alias("a")).select(key, "period", "n", "a.*")
+    # An answer is compared with all values of its key by counting, value by value, not row by row.
+    counts = values.groupBy(key, "period", "value").agg(F.count(F.lit(1)).alias("__n"))
+    ranks = counts.join(long, [key, "period"]).groupBy(key, "period", "n", "percent", "answer").agg(
+        F.sum(F.when(F.col("value") < F.col("answer"), F.col("__n")).otherwise(0)).alias("__below"), F.sum(F.when(F.col("value") <= F.col("answer"), F.col("__n")).otherwise(0)).alias("__upto")
+    )
+    target = F.ceil(F.col("n") * F.col("percent") / 100)
+    off = F.greatest(F.col("__below") + 1 - target, target - F.col("__upto"), F.lit(0))
+    return ranks.select(key, "period", "n", "percent", off.alias("distance"))

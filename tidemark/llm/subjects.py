@@ -8,8 +8,9 @@ speak of it, which tells it from a mention in passing.
 
 Training starts from the labelled documents and goes on over all documents: in each round the
 sentences of every document are assigned by the current evidence and by what the rest of the
-document is about (E), and the counts are taken anew (M). Last, posteriors of each subject are
-calibrated on the labelled documents, independently of one another.
+document is about (E), and the counts are taken anew (M). The labels of every ``HELD_OUT``-th labelled
+document are kept from all rounds but the last; on these documents the posterior of each subject is
+calibrated by a regression of its own, which is drawn towards that of all subjects where labels are few.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, ship_package
 
 #: Hash buckets of words and word pairs: the size of the model.
 BUCKETS = 1 << 18
@@ -44,6 +45,10 @@ MAX_SUBJECTS = 60
 #: Words that a task holds before it hands them on.
 OUTPUT_TOKENS = 1_000_000
 THRESHOLD = 0.5
+#: One in so many labelled documents is kept from training, for calibration.
+HELD_OUT = 5
+#: How strongly a subject's calibration is drawn to that of all subjects (in the unit of the ridge penalty).
+PRIOR = 5.0
 
 # Words, and the ends of sentences: line breaks, and full stops and the like before white space.
 _TOKEN = re.compile(r"[^\W\d]+|[\n\r]|[.!?;](?=\s)")
@@ -120,6 +125,25 @@ def encode_documents(documents: DataFrame, keep: Sequence[str], text: str = "tex
     return documents.select(*keep, text).mapInArrow(run, f"{kept}, {ENCODED}")
 
 
+@dataclass
+class Evidence:
+    """The buckets that are evidence for a subject, and what they weigh for each; all others weigh nothing."""
+
+    buckets: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, weights: np.ndarray) -> Evidence:
+        buckets = np.flatnonzero(weights.any(1))
+        return cls(buckets.astype(np.int32), weights[buckets])
+
+    def row(self) -> np.ndarray:
+        """The row of each bucket, -1 for those without evidence."""
+        row = np.full(BUCKETS, -1, dtype=np.int32)
+        row[self.buckets] = np.arange(len(self.buckets), dtype=np.int32)
+        return row
+
+
 @dataclass
 class Batch:
     """Sentences of a batch of documents in flat form."""
@@ -137,11 +161,16 @@ class Batch:
         start = np.r_[0, np.cumsum(length)[:-1]].astype(np.int64) if len(length) else np.zeros(0, np.int64)
         return cls(features.flatten().to_numpy(zero_copy_only=False), start, np.repeat(np.arange(len(length)), length), document, len(lengths))
 
-    def scores(self, weights: np.ndarray) -> np.ndarray:
-        """Evidence of each sentence for each subject."""
-        if not len(self.start):
-            return np.zeros((0, weights.shape[1]))
-        return np.stack([np.add.reduceat(weights[self.feature, c].astype(np.float64), self.start) for c in range(weights.shape[1])], 1)
+    def scores(self, evidence: Evidence) -> np.ndarray:
+        """Evidence of each sentence for each subject; features without evidence are passed over."""
+        scores = np.zeros((len(self.start), evidence.weights.shape[1]))
+        row = evidence.row()[self.feature]
+        kept = np.flatnonzero(row >= 0)
+        if len(kept):
+            of = self.sentence[kept]
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            scores[of[first]] = np.add.reduceat(evidence.weights[row[kept]], first, axis=0, dtype=np.float64)
+        return scores
 
     def votes(self, scores: np.ndarray) -> np.ndarray:
         """Sentences of each document that speak of each subject, and in the last column of none."""
@@ -161,18 +190,18 @@ def label_shares(masks: np.ndarray, subjects: int) -> np.ndarray:
     return bits / np.maximum(1, bits.sum(1, keepdims=True))
 
 
-def evidence(counts: np.ndarray) -> np.ndarray:
+def evidence_of(counts: np.ndarray) -> Evidence:
     """Log ratio of a bucket's rate in a subject to that in its complement; weak evidence is 0."""
     others = counts.sum(1, keepdims=True) - counts
     own = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * len(counts)))
     rest = np.log((others + SMOOTHING) / (others.sum(0) + SMOOTHING * len(counts)))
     found = (own - rest).astype(np.float32)
     found[found < least_evidence(counts.shape[1])] = 0
-    return found
+    return Evidence.of(found)
 
 
-def count_features(encoded: DataFrame, subjects: int, weights: np.ndarray | None, fallback: int | None) -> np.ndarray:
-    """Counts of buckets by subject: from labels alone (no ``weights``), else one round of EM over all.
+def count_features(encoded: DataFrame, subjects: int, weights: Evidence | None, fallback: int | None) -> np.ndarray:
+    """Counts of buckets by subject: from the labels in ``mask`` alone (no ``weights``), else one round of EM over all.
 
     A task sends at most ``BUCKETS`` rows and so many come to the driver, whatever the corpus.
     """
@@ -226,25 +255,45 @@ def vote_features(votes: np.ndarray, fallback: int | None) -> np.ndarray:
     return np.stack([c.astype(np.float64) for c in columns], -1)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, penalty: float = 0.1) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method, with a small ridge penalty."""
-    w = np.zeros(x.shape[1])
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray | None = None, steps: int = 30, penalty: float = 0.1) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method, with a ridge penalty on the distance from ``prior``."""
+    centre = np.zeros(x.shape[1]) if prior is None else prior
+    w = centre.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * w
+        gradient = x.T @ (p - y) + penalty * (w - centre)
         w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), gradient)
     return w
 
 
+def calibrate(votes: np.ndarray, truth: np.ndarray, fallback: int | None) -> np.ndarray:
+    """Weights of each subject's calibration [subjects, features], from votes and labels of held-out documents."""
+    x = vote_features(votes, fallback)
+    shared = fit_logistic(x.reshape(-1, x.shape[-1]), truth.reshape(-1).astype(np.float64))
+    return np.stack([fit_logistic(x[:, c], truth[:, c].astype(np.float64), shared, penalty=PRIOR) for c in range(truth.shape[1])])
+
+
+def posteriors(votes: np.ndarray, calibration: np.ndarray, fallback: int | None) -> np.ndarray:
+    """The calibrated probability of each subject for each document, independently of the others."""
+    return 1 / (1 + np.exp(-np.clip(np.einsum("dsf,sf->ds", vote_features(votes, fallback), calibration), -30, 30)))
+
+
+def calibration_error(posterior: np.ndarray, truth: np.ndarray, bins: int = 10) -> float:
+    """Mean distance between posterior and share of true cases over equal bins of the posterior, by their number."""
+    at = np.minimum((posterior.reshape(-1) * bins).astype(int), bins - 1)
+    n, p, t = (np.bincount(at, weights=w, minlength=bins) for w in (np.ones(at.shape), posterior.reshape(-1), truth.reshape(-1).astype(float)))
+    return float(np.abs(p - t).sum() / max(1.0, n.sum()))
+
+
 @dataclass
 class Model:
     subjects: list[str]
-    weights: np.ndarray
-    calibration: np.ndarray | None  # none if there were no labels
+    weights: Evidence
+    calibration: np.ndarray | None  # of each subject; none if there were no labels
     fallback: int | None
 
 
-def votes_of(encoded: DataFrame, weights: np.ndarray, keep: Sequence[str], finish) -> DataFrame:
+def votes_of(encoded: DataFrame, weights: Evidence, keep: Sequence[str], finish) -> DataFrame:
     """Apply ``finish(kept columns, known, votes)`` to batches; it returns a pandas frame."""
     shared = encoded.sparkSession.sparkContext.broadcast(weights)
 
@@ -268,27 +317,44 @@ class _Votes:
 
 
 class _Subjects:
-    """One row per document and subject whose calibrated posterior reaches the threshold."""
+    """One row per document and subject whose calibrated posterior reaches the threshold.
 
-    def __init__(self, model: Model, schema: str, threshold: float) -> None:
-        self.names, self.calibration, self.fallback = model.subjects, model.calibration, model.fallback
-        self.schema, self.threshold = schema, threshold
+    With ``whole``, a text in which no subject reaches it is given the likeliest.
+    """
 
-    def __call__(self, kept: pd.DataFrame, known: np.ndarray, votes: np.ndarray) -> pd.DataFrame:
+    def __init__(self, model: Model, schema: str, threshold: float, whole: bool) -> None:
+        self.names, self.calibration, self.fallback = np.asarray(model.subjects, dtype=object), model.calibration, model.fallback
+        self.schema, self.threshold, self.whole = schema, threshold, whole
+
+    def judge(self, votes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Posteriors and what is chosen, [documents, subjects]."""
         if self.calibration is None:
             posterior = np.zeros((len(votes), len(self.names)))
             chosen = np.zeros(posterior.shape, dtype=bool)
             if self.fallback is not None:
                 chosen[:, self.fallback] = True
         else:
-            posterior = 1 / (1 + np.exp(-np.clip(vote_features(votes, self.fallback) @ self.calibration, -30, 30)))
+            posterior = posteriors(votes, self.calibration, self.fallback)
             chosen = posterior >= self.threshold
-        if len(chosen) and self.calibration is not None:
-            # A text with words is about something: if nothing stands out, about what is likeliest.
-            chosen[np.arange(len(chosen)), posterior.argmax(1)] |= ~chosen.any(1)
-        row, subject = np.nonzero(chosen & known.astype(bool)[:, None])
-        out = kept.iloc[row].reset_index(drop=True)
-        return out.assign(subject=np.asarray(self.names, dtype=object)[subject], posterior=posterior[row, subject])
+            if len(chosen) and self.whole:
+                chosen[np.arange(len(chosen)), posterior.argmax(1)] |= ~chosen.any(1)
+        return posterior, chosen & known.astype(bool)[:, None]
+
+    def __call__(self, kept: pd.DataFrame, known: np.ndarray, votes: np.ndarray) -> pd.DataFrame:
+        posterior, chosen = self.judge(votes, known)
+        row, subject = np.nonzero(chosen)
+        return kept.iloc[row].reset_index(drop=True).assign(subject=self.names[subject], posterior=posterior[row, subject])
+
+
+class _Composition(_Subjects):
+    """Per batch, group and subject: documents chosen, and the sum of the posteriors of all documents, also below the threshold."""
+
+    def __call__(self, kept: pd.DataFrame, known: np.ndarray, votes: np.ndarray) -> pd.DataFrame:
+        posterior, chosen = self.judge(votes, known)
+        posterior = posterior * known.astype(bool)[:, None]
+        columns = list(kept.columns)
+        every = pd.concat([kept.assign(subject=name, n=chosen[:, c].astype(np.int64), expected=posterior[:, c]) for c, name in enumerate(self.names)])
+        return every.groupby([*columns, "subject"], dropna=False, sort=False).sum().reset_index()
 
 
 def label_masks(labels: DataFrame, subjects: Sequence[str], limit: int = LABELLED_DOCUMENTS) -> DataFrame:
@@ -298,42 +364,96 @@ def label_masks(labels: DataFrame, subjects: Sequence[str], limit: int = LABELLE
     return masks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def train(encoded: DataFrame, subjects: Sequence[str], fallback: str | None = "software", rounds: int = ROUNDS) -> Model:
-    """Train on ``encoded`` documents, whose ``mask`` has the labels where there are any."""
+def train(encoded: DataFrame, subjects: Sequence[str], fallback: str | None = None, rounds: int = ROUNDS) -> Model:
+    """Train on ``encoded`` documents, whose ``mask`` has the labels where there are any and ``held`` those that calibrate.
+
+    The last round uses the held-out labels too; the calibration rests on the evidence of the round before.
+    If no label is held out, or all are, the calibration uses the labels that there are.
+    """
     subjects = list(subjects)
-    default = subjects.index(fallback) if fallback in subjects else None
-    if encoded.filter("mask > 0").isEmpty():
-        return Model(subjects, np.zeros((BUCKETS, len(subjects)), np.float32), None, default)
-    weights = evidence(count_features(encoded, len(subjects), None, default))
-    for _ in range(rounds):
-        weights = evidence(count_features(encoded, len(subjects), weights, default))
-    told = votes_of(encoded.filter("mask > 0"), weights, ["mask"], _Votes(len(subjects))).toPandas()
-    truth = (told["mask"].to_numpy(dtype=np.int64)[:, None] >> np.arange(len(subjects))) & 1
-    x = vote_features(told.drop(columns="mask").to_numpy(dtype=np.float64), default)
-    return Model(subjects, weights, fit_logistic(x.reshape(-1, x.shape[-1]), truth.reshape(-1).astype(np.float64)), default)
+    n, default = len(subjects), subjects.index(fallback) if fallback in subjects else None
+    labelled = encoded.filter("mask > 0")
+    held = {r[0] for r in labelled.select("held").distinct().collect()}
+    if not held:
+        return Model(subjects, Evidence.of(np.zeros((BUCKETS, n), np.float32)), None, default)
+    split = len(held) == 2
+    apart = encoded.withColumn("mask", F.when(~F.col("held"), F.col("mask"))) if split else encoded
+    weights = evidence_of(count_features(apart, n, None, default))
+    for _ in range(rounds - 1):
+        weights = evidence_of(count_features(apart, n, weights, default))
+    told = votes_of(labelled.filter("held") if split else labelled, weights, ["mask"], _Votes(n)).toPandas()  # at most LABELLED_DOCUMENTS rows
+    truth = (told["mask"].to_numpy(dtype=np.int64)[:, None] >> np.arange(n)) & 1
+    calibration = calibrate(told.drop(columns="mask").to_numpy(dtype=np.float64), truth, default)
+    return Model(subjects, evidence_of(count_features(encoded, n, weights, default)) if rounds else weights, calibration, default)
 
 
-def assign_subjects(
-    documents: DataFrame, labels: DataFrame, subjects: DataFrame, keep: Sequence[str] = (), fallback: str | None = "software", threshold: float = THRESHOLD
-) -> DataFrame:
-    """doc_id, ``keep`` columns, subject, posterior: the main subjects of each document.
+@dataclass
+class Trained:
+    """Encoded documents and the model trained on them; ``kept`` are the columns carried along."""
 
-    Texts that are null, empty, blank or mere punctuation have no row. Every other text has one row
-    at least; one in which nothing speaks of any subject goes to ``fallback``. Rows that repeat a
-    doc_id are judged one by one. Labels of unknown subjects or documents are ignored; with no
-    labels at all every text goes to the fallback, with posterior 0 (no rows if it is no subject); with
-    no subjects there are no rows.
-    """
+    encoded: DataFrame
+    model: Model
+    kept: list[str]
+    types: str
+
+    def assign(self, threshold: float, whole: bool) -> DataFrame:
+        finish = _Subjects(self.model, f"{self.types}, subject string, posterior double", threshold, whole)
+        return votes_of(self.encoded, self.model.weights, self.kept, finish)
+
+    def compose(self, by: Sequence[str], threshold: float, whole: bool) -> DataFrame:
+        types = ", ".join(f"`{c}` {t}" for c, t in self.encoded.select(*by).dtypes)
+        finish = _Composition(self.model, f"{types}, subject string, n long, expected double", threshold, whole)
+        parts = votes_of(self.encoded, self.model.weights, list(by), finish)
+        sums = parts.groupBy(*by, "subject").agg(F.sum("n").alias("n_documents"), F.sum("expected").alias("expected_documents"))
+        return sums.filter("n_documents > 0 OR expected_documents > 0")
+
+
+def trained(documents: DataFrame, labels: DataFrame, subjects: DataFrame, keep: Sequence[str], fallback: str | None) -> Trained | None:
+    """The model of some documents; None without subjects."""
     names = [r[0] for r in subjects.select("subject").filter("subject is not null").distinct().orderBy("subject").limit(MAX_SUBJECTS + 1).collect()]
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    kept = ["doc_id", *keep]
-    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in kept) + ", subject string, posterior double"
     if len(names) > MAX_SUBJECTS:
         raise ValueError(f"at most {MAX_SUBJECTS} subjects")
     if not names:
-        return documents.sparkSession.createDataFrame([], schema)
-    masks = label_masks(labels, names).withColumn("doc_id", F.col("doc_id").cast(kind))
+        return None
+    ship_package(documents.sparkSession)
+    kind, kept = documents.schema["doc_id"].dataType.simpleString(), ["doc_id", *keep]
+    masks = label_masks(labels, names).select(F.col("doc_id").cast(kind), "mask", (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD_OUT)) == 0).alias("held"))
     # The label list is bounded by LABELLED_DOCUMENTS, so the texts needn't be shuffled for it.
     marked = documents.select(*kept, "text").join(F.broadcast(masks), "doc_id", "left")
-    encoded = cut_lineage(encode_documents(marked, [*kept, "mask"]))
-    return votes_of(encoded, (model := train(encoded, names, fallback)).weights, kept, _Subjects(model, schema, threshold))
+    encoded = cut_lineage(encode_documents(marked, [*kept, "mask", "held"]))
+    types = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in kept)
+    return Trained(encoded, train(encoded, names, fallback), kept, types)
+
+
+def assign_subjects(
+    documents: DataFrame, labels: DataFrame, subjects: DataFrame, keep: Sequence[str] = (), fallback: str | None = None, threshold: float = THRESHOLD, whole: bool = False
+) -> DataFrame:
+    """doc_id, ``keep`` columns, subject, posterior: the main subjects of each document.
+
+    Texts that are null, empty, blank or mere punctuation have no row. Every other text has a row for
+    each subject whose calibrated posterior reaches ``threshold``; with ``whole`` it has one row at
+    least, the likeliest subject. ``fallback`` names a subject that also stands for texts in which
+    nothing speaks of any subject. Rows that repeat a doc_id are judged one by one. Labels of unknown
+    subjects or documents are ignored; with no labels at all every text goes to the fallback, with
+    posterior 0 (no rows without a fallback); with no subjects there are no rows.
+    """
+    found = trained(documents, labels, subjects, keep, fallback)
+    if found is None:
+        types = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in ["doc_id", *keep])
+        return documents.sparkSession.createDataFrame([], f"{types}, subject string, posterior double")
+    return found.assign(threshold, whole)
+
+
+def compose_subjects(
+    documents: DataFrame, labels: DataFrame, subjects: DataFrame, by: Sequence[str], fallback: str | None = None, threshold: float = THRESHOLD, whole: bool = False
+) -> DataFrame:
+    """``by`` columns, subject, n_documents, expected_documents: the make-up of the corpus.
+
+    n_documents are those that ``assign_subjects`` gives the subject; expected_documents is the sum of
+    the posteriors of all texts of the group, whether they reach the threshold or not.
+    """
+    found = trained(documents, labels, subjects, [c for c in by if c != "doc_id"], fallback)
+    if found is None:
+        types = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in by)
+        return documents.sparkSession.createDataFrame([], f"{types}, subject string, n_documents long, expected_documents double")
+    return found.compose(by, threshold, whole)
