@@ -106,7 +106,8 @@ def version_history(
     before = states.unionByName(opening).withColumn("__n", F.col("__n") + 1)
     blank = reduce(Column.__and__, (F.col(a) == "" for a in attributes))
     changes = diff_snapshots(before, states, [*part, "__n"], attributes, carried=["__at"])
-    begins = changes.filter(F.col("change").isin("inserted", "changed") & ~blank)
+    # Stored, as both the ends within a slice and those across slices start from them.
+    begins = cut_lineage(changes.filter(F.col("change").isin("inserted", "changed") & ~blank).drop("change"))
     # Ends are taken within a slice, then across slices.
     ordered = begins.withColumn("__end", F.lead("__at").over(W.partitionBy(*part).orderBy("__n")))
     firsts = begins.groupBy(*part).agg(F.min("__at").alias("__first")).select(*part, F.lead("__first").over(W.partitionBy(*keys).orderBy("__slice")).alias("__next"))
