@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage, shuffle_width
+from tidemark.session import scan_width, shuffle_width
 
 CHUNK = "__chunk"
 #: The merge of each kind of partial state; all are associative and commutative.
@@ -28,14 +28,15 @@ def tree_aggregate(
     Each task first combines its own input chunk; the partial states then meet in rounds. In
     round r a reducer gets, for one key, the states of at most ``fan_in`` groups of round r-1, so a
     key that holds a third of all rows costs no task more than ``fan_in`` states. The number of
-    rounds is the logarithm of ``chunks``, by default the session's shuffle width.
+    rounds is the logarithm of ``chunks``, the number of tasks that hold ``df``; by default the larger of
+    the session's shuffle width and the number of tasks that read the input.
 
     Null keys form a group of their own; an empty input gives no rows. Columns of ``df`` that are
     neither keys nor used in ``states`` are pruned, so their names can't clash.
     """
     if fan_in < 2:
         raise ValueError("fan_in must be 2 or more")
-    chunks = chunks or max(shuffle_width(df.sparkSession), 1)
+    chunks = chunks or max(shuffle_width(df.sparkSession), scan_width(df), 1)
     rounds = max(1, math.ceil(math.log(max(chunks, 2), fan_in) - 1e-9))
     level = df.select(
         *keys,
@@ -74,15 +75,21 @@ def key_activity(
         ["key_field", "key_value"],
         {"n_events": ("count", F.lit(1)), "first_timestamp": ("min", F.col("__at")), "last_timestamp": ("max", F.col("__at"))},
         fan_in=fan_in,
+        chunks=shuffle_width(events.sparkSession),  # of the distinct events
     )
 
 
-def heavy_keys(activity: DataFrame, share: float = 0.04, total_field: str = "run_id") -> DataFrame:
+def heavy_keys(activity: DataFrame, share: float = 0.04, total_field: str = "run_id", fields: int = 2) -> DataFrame:
     """The keys of ``key_activity`` that hold more than ``share`` of all distinct events.
 
     Null and blank keys are left out of the result yet count in the total, which is that of
-    ``total_field`` (each event has exactly one value of each field, null included).
+    ``total_field`` (each event has exactly one value of each field, null included). No more than
+    1 / ``share`` keys of each of the ``fields`` can be above it, so only that many of the largest are
+    kept, in the same pass in which the total is counted.
     """
-    stored = cut_lineage(activity)
-    total = stored.filter(F.col("key_field") == total_field).agg(F.sum("n_events")).first()[0] or 0
-    return stored.filter(F.col("key_value").rlike(r"\S") & (F.col("n_events") > share * total)).select("key_field", "key_value")
+    spark, total = activity.sparkSession, Observation()
+    counted = activity.observe(total, F.sum(F.when(F.col("key_field") == total_field, F.col("n_events"))).alias("n"))
+    largest = counted.filter(F.col("key_value").rlike(r"\S")).orderBy(F.desc("n_events")).limit(math.ceil(fields / share))
+    found = [(r["key_field"], r["key_value"], r["n_events"]) for r in largest.collect()]
+    bound = share * (total.get["n"] or 0)
+    return spark.createDataFrame([r[:2] for r in found if r[2] > bound], "key_field string, key_value string")

@@ -63,6 +63,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(int(v) for v in (spark.conf.get(n, None) or "1" for n in names))
 
 
+def scan_width(df: DataFrame) -> int:
+    """About how many tasks read the input of ``df`` where no shuffle comes first, by the planner's size of it; 0 if it has none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    per_task = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
+    return -(-size // per_task) if size < 1 << 60 else 0
+
+
 _SHIPPED: set[str] = set()
 
 
