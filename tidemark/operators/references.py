@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
-#: Candidate parents up to this many rows are broadcast (some 20 MB at most); more are joined by a salted shuffle.
-BROADCAST_ROWS = 100_000
+#: Candidate parents up to this many bytes of ids (and some 60 for the rest of each row) are broadcast; more are joined by a salted shuffle.
+BROADCAST_BYTES = 10_000_000
 #: An id with more than 1/HOT_SHARE of all references is salted, so there are fewer than HOT_SHARE such ids.
 HOT_SHARE = 1_000
 
@@ -40,7 +40,7 @@ def orphan_references(references: DataFrame, parents: DataFrame, deleted: DataFr
 
     The distinct ids (with the earliest time each is referred to) are anti-joined with the parents;
     only ids that are orphans, or whose parent came after some reference, are joined back to the
-    references. That candidate list is broadcast if it is small by count, else the ids are
+    references. That candidate list is broadcast if it is small by bytes, else the ids are
     shuffled, the few hot ones in salted parts.
     """
     written = references.filter(F.col("run_id").isNotNull() & ~is_blank(F.col("run_id"))).withColumn("__id", normal_id(F.col("run_id")))
@@ -54,8 +54,8 @@ def orphan_references(references: DataFrame, parents: DataFrame, deleted: DataFr
         "__id", "__n", F.when(F.col("__gone"), "deleted").otherwise("missing").alias("reason"), F.lit(None).cast(dict(parents.dtypes)["ingested_at"]).alias("__parent_at")
     ).unionByName(late.select("__id", "__n", F.lit("late").alias("reason"), "__parent_at"))
     candidates = cut_lineage(reasons)
-    size, total = candidates.agg(F.count(F.lit(1)), F.sum("__n")).first()
-    if size <= BROADCAST_ROWS:
+    size, total = candidates.agg(F.sum(F.octet_length("__id") + 60), F.sum("__n")).first()
+    if (size or 0) <= BROADCAST_BYTES:
         found = written.join(F.broadcast(candidates.drop("__n")), "__id")
     else:
         hot = F.broadcast(candidates.filter(F.col("__n") * HOT_SHARE > total).select("__id", F.ceil(F.col("__n") * HOT_SHARE / total).cast("int").alias("__salts")))
