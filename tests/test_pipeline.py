@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.operators.features import activity_by_type, digits_total, event_types, feature_table
+from tidemark.operators.features import activity_by_type, digits_total, event_types, feature_table, melt_features
 from tidemark.operators.history import diff_snapshots, history_from_snapshots, version_history
 from tidemark.operators.references import orphan_counts, orphan_references
 from tidemark.operators.tree_aggregate import heavy_keys, key_activity, tree_aggregate
@@ -90,7 +90,7 @@ DAY = 86_400_000_000_000
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_orphans(spark, monkeypatch, shuffled):
     if shuffled:
-        monkeypatch.setattr("tidemark.operators.references.BROADCAST_ROWS", 0)
+        monkeypatch.setattr("tidemark.operators.references.BROADCAST_BYTES", 0)
         monkeypatch.setattr("tidemark.operators.references.HOT_SHARE", 2)
     refs = [
         ("e", 1, " A\n", 0, 5), ("e", 2, "b", DAY, 5), ("e", 2, "b", DAY, 9), ("e", 3, "", 0, 5), ("e", 4, None, 0, 5), ("e", 5, "gone", -1, 5),
@@ -109,19 +109,22 @@ def test_orphans(spark, monkeypatch, shuffled):
 
 
 def test_features(spark):
-    pairs = [("rows", "12"), ("rows", "x"), ("rows", "٣"), ("rows", ""), ("bytes", "9"), ("rows", "99999999999999999999"), ("rows", "0030\n")]
+    pairs = [("rows", "12"), ("rows", "x"), ("rows", "٣"), ("rows", ""), ("bytes", "9"), ("rows", "0030\n")]
+    beyond = [("rows", "99999999999999999999"), ("rows", "5")]
     data = [
         (1, "l", "A.b", "k", 5, pairs), (1, "l", "A.b", "k", 5, pairs), (2, "l", "A.b", "k", 9, None), (3, "l", "A_b", "k", 7, []),
-        (4, "l", None, "k", 1, []), (5, "l", "A.b", None, 1, []), (6, "m", "Z", "k", None, [("rows", "4")]),
+        (4, "l", None, "k", 1, []), (5, "l", "A.b", None, 1, []), (6, "m", "Z", "k", None, [("rows", "4")]), (7, "m", "Y", "k", 3, beyond), (8, "m", "Y", "k", 3, [("rows", "1")]),
     ]
     df = spark.createDataFrame(data, "event_id long, code_location_id string, event_type string, asset_key string, timestamp long, metadata array<struct<k:string,v:string>>")
     df = df.withColumn("n_events", F.lit("clash"))
     long = activity_by_type(df)
-    assert rows(long) == [("l", "k", "A.b", 2, 9, 12), ("l", "k", "A_b", 1, 7, 0), ("m", "k", "Z", 1, None, 4)]
+    assert rows(long) == [("l", "k", "A.b", 2, 9, 12), ("l", "k", "A_b", 1, 7, 0), ("m", "k", "Y", 2, 3, (1 << 63) - 1), ("m", "k", "Z", 1, None, 4)]
     types = event_types(long)
     wide = feature_table(long, types, F.lit(2_000_000_009))
-    assert types == ["A.b", "A_b", "Z"] and len(wide.columns) == 2 + 9 and len(set(wide.columns)) == len(wide.columns)
+    assert types == ["A.b", "A_b", "Y", "Z"] and len(wide.columns) == 2 + 12 and len(set(wide.columns)) == len(wide.columns)
     first = wide.filter("code_location_id = 'l'").first()
+    melted = rows(melt_features(wide, types).filter("code_location_id = 'l'"), "event_type", "n", "age_s", "rows")
+    assert melted == [("A.b", 2, 2.0, 12), ("A_b", 1, 2.000000002, 0), ("Y", 0, None, 0), ("Z", 0, None, 0)]
     assert (first["a_b_n"], first["a_b_age_s"], first["z_n"], first["z_age_s"]) == (2, 2.0, 0, None)
     assert activity_by_type(df.limit(0)).count() == 0 and feature_table(long.limit(0), types, F.lit(0)).count() == 0
     assert feature_table(long, [], F.lit(0)).columns == ["code_location_id", "asset_key"]

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.features import activity_by_type, event_types, feature_table
+from tidemark.operators.features import activity_by_type, event_types, feature_table, melt_features
 from tidemark.operators.history import version_history
 from tidemark.operators.log_templates import find_layouts, mine_templates, parse_entries
 from tidemark.operators.references import orphan_counts, orphan_references, run_references
 from tidemark.operators.tree_aggregate import heavy_keys, key_activity
 from tidemark.plans.registry import CORE
+from tidemark.session import cut_lineage
 from tidemark.sources.tables import table
 
 ACTIVITY_SQL = """
@@ -139,10 +140,35 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity_by_type(table(spark, sf_dir, "asset_events"))
 
 
+def features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The feature table and its types; the events are read once, and recency is taken at the last event of all."""
+    last = Observation()
+    events = table(spark, sf_dir, "asset_events").observe(last, F.max("timestamp").alias("at"))
+    long = cut_lineage(activity_by_type(events))
+    types = event_types(long)
+    return feature_table(long, types, F.lit(last.get["at"] or 0)), types
+
+
 @CORE.query("p6_features")
 def p6_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per asset, three columns for each event type; recency is taken at the last event of all."""
-    events = table(spark, sf_dir, "asset_events")
-    long = activity_by_type(events)
-    as_of = events.agg(F.max("timestamp")).first()[0] or 0
-    return feature_table(long, event_types(long), F.lit(as_of))
+    """One row per asset, three columns for each event type."""
+    return features(spark, sf_dir)[0]
+
+
+@CORE.query(
+    "p6_features_melted",
+    """
+WITH d AS (
+  SELECT DISTINCT event_id, code_location_id, asset_key, event_type, timestamp,
+         list_sum(list_transform(list_filter(metadata, lambda m: m.k = 'rows' AND regexp_full_match(m.v, '[0-9]+')), lambda m: CAST(m.v AS BIGINT))) AS t
+  FROM asset_events WHERE asset_key IS NOT NULL AND event_type IS NOT NULL AND code_location_id IS NOT NULL),
+l AS (SELECT code_location_id, asset_key, event_type, count(*) AS n, max(timestamp) AS last_at, CAST(coalesce(sum(t), 0) AS BIGINT) AS total FROM d GROUP BY ALL),
+e AS (SELECT DISTINCT code_location_id, asset_key FROM l), k AS (SELECT DISTINCT event_type FROM l)
+SELECT code_location_id, asset_key, event_type, coalesce(n, 0) AS n, CAST(round(((SELECT max(timestamp) FROM asset_events) - last_at) / 1000000.0) AS BIGINT) AS age_ms, coalesce(total, 0) AS "rows"
+FROM e CROSS JOIN k LEFT JOIN l USING (code_location_id, asset_key, event_type)
+""",
+)
+def p6_features_melted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of the feature table as a row, so that it can be compared."""
+    wide, types = features(spark, sf_dir)
+    return melt_features(wide, types).withColumn("age_ms", F.round(F.col("age_s") * 1_000, 0).cast("long")).drop("age_s")
