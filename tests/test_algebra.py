@@ -40,7 +40,7 @@ def test_grids(spark):
     grid = P.TimeWindow(datetime(2024, 2, 28), datetime(2024, 3, 2, 12), timedelta(days=1))
     assert grid.count() == 4 and [r.key for r in grid.universe(spark).orderBy("ordinal").collect()] == ["2024-02-28", "2024-02-29", "2024-03-01", "2024-03-02"]
     assert P.daily(datetime(2024, 1, 1, 5), datetime(2024, 1, 4)).count() == 2
-    with pytest.raises(ValueError, match="two windows"):
+    with pytest.raises(ValueError, match="reads as"):
         P.TimeWindow(datetime(2024, 1, 1), datetime(2024, 1, 3), timedelta(hours=1), None, "%Y-%m-%d")
     with pytest.raises(ValueError):
         P.TimeWindow(datetime(2024, 1, 1), datetime(2024, 1, 3))
@@ -236,6 +236,18 @@ def test_dequeue_equals_a_plain_loop(spark, seed, most):
     assert R.dequeue(df.limit(0), limits, most).count() == 0
 
 
+def test_places_in_a_hot_group(spark):
+    r = random.Random(9)
+    data = [(f"r{i:03}", r.choice([None, "x", "y"]) if i % 3 else "hot", r.randint(0, 3), r.randint(0, 9)) for i in range(400)]
+    df = spark.createDataFrame(data, "run_id string, code_location_id string, priority int, start_time long")
+    want = []
+    for place in {x[1] for x in data}:
+        group = sorted((x for x in data if x[1] == place), key=lambda x: (-x[2], x[3], x[0]))
+        want += [(x[0], n, len(group)) for n, x in enumerate(group, 1)]
+    assert rows(R.places(df, ["code_location_id"], R.queue_order()), "run_id", "place", "waiting") == sorted(want)
+    assert R.places(df.limit(0), ["code_location_id"], R.queue_order()).count() == 0
+
+
 def test_tags_and_filters_with_nulls(spark):
     df = spark.createDataFrame([([("a", "1"), ("a", "2")], ["Raw"]), ([], []), (None, None)], f"tags {TAGS}, names array<string>")
     t = F.col("tags")

@@ -61,6 +61,33 @@ def test_mapping_checks():
     for case in bad:
         with pytest.raises(MappingError):
             check_edge(*case)
-    shifted = P.TimeWindow(datetime(2024, 1, 1, 6), datetime(2024, 2, 1), timedelta(days=1))
-    assert compatible_grids(day, shifted) == "their windows start at different offsets"
+    fine, shifted = (P.TimeWindow(datetime(2024, 1, 1, h), datetime(2024, 2, 1), timedelta(days=1), fmt="%Y-%m-%dT%H") for h in (0, 6))
+    assert compatible_grids(fine, shifted) == "their windows start at different offsets"
     assert len(check_graph([Edge("a", "b"), Edge("b", "c")], {"a": day, "b": day, "c": hour})) == 1
+
+
+@pytest.mark.parametrize(("every", "fmt"), [(timedelta(hours=6), "%Y-%m-%d"), (timedelta(days=1), "%Y|%m|%d"), (timedelta(days=1), "%d"), (timedelta(days=1), "%j-%Y-x%%")])
+def test_formats_must_lead_back_to_the_window(every, fmt):
+    make = lambda: P.TimeWindow(datetime(2024, 1, 1), datetime(2024, 3, 1), every, fmt=fmt)
+    if fmt.endswith("%%"):
+        assert make().fmt == fmt
+    else:
+        with pytest.raises(ValueError):
+            make()
+    with pytest.raises(ValueError):
+        P.TimeWindow(datetime(2024, 1, 1, 0, 0, 0, 5), datetime(2024, 3, 1), cron="0 0 * * *")
+
+
+def test_events_are_appended_in_batches(spark, tmp_path):
+    from tidemark.streaming.events import EventBuffer
+
+    table, now = VersionedTable(spark, str(tmp_path / "events")), [0.0]
+    with EventBuffer(table, "kind string, n long", size=4, wait_s=1.0, clock=lambda: now[0]) as buffer:
+        for i in range(9):
+            buffer.add("step", i)
+        assert table.versions() == [0, 1] and len(buffer.held) == 1
+        now[0] = 2.0
+        buffer.add("late", 9)
+        assert table.versions() == [0, 1, 2] and not buffer.held
+        buffer.add("last", 10)
+    assert rows(table.read(), "n") == sorted(((i,) for i in range(11)), key=repr) and len(table.versions()) == 4

@@ -8,6 +8,7 @@ import typing
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -16,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.events import SORT_ORDER
+from tidemark.operators.graph import sort_items
 from tidemark.operators.predicates import Key
+from tidemark.session import ship_package
 from tidemark.sources.handlers import AssetSettings, Context, Handlers, convert, partition_suffix, to_frame
 
 EVENT_SCHEMA = "event_type string, asset_key string, run_id string, partition string, timestamp long, sort_order int, metadata map<string,string>"
@@ -74,10 +77,15 @@ class Task:
     run: Callable[..., Any]
 
     def __call__(self, *args: Any) -> Any:
+        if (open_ := _COMPOSING.get()) is not None:
+            return open_.record("call", self, args)
         return self.run(*args)
 
     def map(self, rows: DataFrame, schema: str) -> DataFrame:
         """Apply the function to each row (a dict), which gives any number of rows; batches go through Arrow."""
+        if (open_ := _COMPOSING.get()) is not None:
+            return open_.record("map", self, (rows,), schema)
+        ship_package(rows.sparkSession)
         run = self.run
 
         def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,6 +99,8 @@ class Task:
     @staticmethod
     def collect(mapped: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
         """Gather the mapped rows of each key into one array, in order."""
+        if (open_ := _COMPOSING.get()) is not None:
+            return open_.record("collect", None, (mapped,), keys, order)
         rest = [c for c in mapped.columns if c not in keys]
         item = F.struct(*order, *(c for c in rest if c not in order))
         return mapped.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
@@ -98,9 +108,80 @@ class Task:
     @staticmethod
     def stream(mapped: DataFrame) -> Iterator[Any]:
         """The mapped rows one by one, a partition at a time on the driver."""
+        if (open_ := _COMPOSING.get()) is not None:
+            return open_.record("stream", None, (mapped,))
         return mapped.toLocalIterator()
 
 
+@dataclass(frozen=True)
+class Handle:
+    """What a step of a composition will give, or one of its inputs."""
+
+    name: str
+
+
+@dataclass(frozen=True)
+class Step:
+    name: str
+    kind: str  # call, map, collect or stream
+    task: Task | None
+    inputs: tuple[Any, ...]
+    options: tuple[Any, ...]
+
+
+_COMPOSING: ContextVar[Composition | None] = ContextVar("composing", default=None)
+
+
+class Composition:
+    """The steps of a graph asset, captured by running its function once on handles in place of data."""
+
+    def __init__(self, build: Callable[..., Any], inputs: Sequence[str]) -> None:
+        self.steps: list[Step] = []
+        token = _COMPOSING.set(self)
+        try:
+            self.result = build(**{i: Handle(i) for i in inputs})
+        finally:
+            _COMPOSING.reset(token)
+
+    def record(self, kind: str, task: Task | None, inputs: tuple[Any, ...], *options: Any) -> Handle:
+        base = kind if task is None else getattr(task.run, "__name__", "task")
+        name = f"{base}.{sum(s.name.split('.')[0] == base for s in self.steps)}"
+        self.steps.append(Step(name, kind, task, inputs, options))
+        return Handle(name)
+
+    def edges(self) -> list[tuple[str, str]]:
+        """(step, the step or input that it reads)."""
+        return [(s.name, i.name) for s in self.steps for i in s.inputs if isinstance(i, Handle)]
+
+    def run(self, **inputs: Any) -> Any:
+        """Run the steps in the order in which they were called; frames stay lazy."""
+        done: dict[str, Any] = dict(inputs)
+        value = lambda x: done[x.name] if isinstance(x, Handle) else {k: value(v) for k, v in x.items()} if isinstance(x, dict) else x
+        for s in self.steps:
+            given = [value(i) for i in s.inputs]
+            if s.task is not None:
+                done[s.name] = s.task.map(*given, *s.options) if s.kind == "map" else s.task(*given)
+            else:
+                done[s.name] = Task.collect(*given, *s.options) if s.kind == "collect" else Task.stream(*given)
+        return value(self.result)
+
+
+def graph_asset(key: str | None = None, *, deps: Mapping[str, str] | None = None, **options: Any) -> Callable[[Callable[..., Any]], Asset]:
+    """Decorate a function that only calls tasks: its steps are captured once and run as one asset."""
+
+    def make(build: Callable[..., Any]) -> Asset:
+        names = list(inspect.signature(build).parameters)
+        found = Composition(build, names)
+
+        def run(**inputs: Any) -> Any:
+            return found.run(**inputs)
+
+        run.composition = found  # type: ignore[attr-defined]
+        return Asset(key or build.__name__, run, {p: (deps or {}).get(p, p) for p in names}, **options)
+
+    return make
+
+
 def _rows(value: Any) -> Iterable[dict]:
     return [] if value is None else [value] if isinstance(value, dict) else value
 
@@ -133,12 +214,13 @@ class Repository:
         self.levels = self._levels()
 
     def _levels(self) -> dict[str, int]:
+        try:
+            order = sort_items({k: sorted(us) for k, us in self.upstream.items()})
+        except ValueError as error:
+            raise GraphError(str(error)) from None
         found: dict[str, int] = {}
-        while len(found) < len(self.nodes):
-            ready = [k for k in self.nodes if k not in found and all(u in found for u in self.upstream[k])]
-            if not ready:
-                raise GraphError(f"cycle among {sorted(k for k in self.nodes if k not in found)}")
-            found |= {k: 1 + max((found[u] for u in self.upstream[k]), default=-1) for k in ready}
+        for k in order:
+            found[k] = 1 + max((found[u] for u in self.upstream[k]), default=-1)
         return found
 
     def edges(self) -> DataFrame:

@@ -44,6 +44,18 @@ def display_members(display: Column) -> Column:
     return F.aggregate(dimensions(display), F.array().cast("array<string>"), extend)
 
 
+def members_preview(display: Column, limit: int) -> Column:
+    """The first ``limit`` concrete keys of a batch key; no more than ``limit`` are built at any step."""
+
+    def extend(done: Column, d: Column) -> Column:
+        named = F.transform(F.slice(d["values"], 1, limit), lambda v: F.when(d["dim"] == "", v).otherwise(F.concat(d["dim"], F.lit("="), v)))
+        longer = F.flatten(F.transform(done, lambda a: F.transform(named, lambda b: F.concat(a, F.lit("|"), b))))
+        return F.slice(F.when(F.size(done) == 0, named).otherwise(longer), 1, limit)
+
+    none = F.array().cast("array<string>")
+    return F.aggregate(dimensions(display), none, extend) if limit > 0 else none
+
+
 def dimension_value(display: Column, name: str) -> Column:
     """The first value of a dimension of a multi key; null if it has none of that name."""
     found = F.filter(dimensions(display), lambda d: d["dim"] == name)

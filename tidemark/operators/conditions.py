@@ -370,17 +370,28 @@ class Evaluation:
             return frame, ~c
         if isinstance(node, NewlyTrue):
             frame, c = self._stored(*self._eval(frame, outer, node.part, solved))
-            return frame, c & ~F.coalesce(F.lag(c).over(before), F.lit(False))
+            return frame, c & ~self._held(node, c, before)
         if isinstance(node, Since):
             frame, on = self._stored(*self._eval(frame, outer, node.trigger, solved))
             frame, off = self._stored(*self._eval(frame, outer, node.reset, solved))
-            last = lambda c: F.coalesce(F.max(F.when(c, F.col("tick"))).over(so_far), F.lit(-(1 << 62)))
-            return frame, last(on) > last(off)
+            return self._latched(frame, node, on, off, so_far)
         if isinstance(node, SinceLastHandled):
             frame, c = self._eval(frame, outer, node.part, solved)
             return frame, c & (F.col("__handled").isNull() | F.coalesce(F.col("__handled") < F.col("__prev_tick"), F.lit(True)))
         raise TypeError(f"no rule for {type(node).__name__}")
 
+    def _was(self, column: str, before: WindowSpec) -> Column:
+        """The value of a fact at the tick before."""
+        return F.lag(column).over(before)
+
+    def _held(self, node: Node, now: Column, before: WindowSpec) -> Column:
+        """Whether a part held at the tick before."""
+        return F.coalesce(F.lag(now).over(before), F.lit(False))
+
+    def _latched(self, frame: DataFrame, node: Node, on: Column, off: Column, so_far: WindowSpec) -> tuple[DataFrame, Column]:
+        last = lambda c: F.coalesce(F.max(F.when(c, F.col("tick"))).over(so_far), F.lit(-(1 << 62)))
+        return frame, last(on) > last(off)
+
     def _stored(self, frame: DataFrame, c: Column) -> tuple[DataFrame, Column]:
         """Keep a result as a column, so that windows over it don't nest."""
         name = self._name()
@@ -397,14 +408,14 @@ class Evaluation:
         if name == "initial_evaluation":
             return initial
         if name == "newly_requested":
-            return F.coalesce(F.col("handled_tick") == F.lag("tick").over(before), F.lit(False))
+            return F.coalesce(F.col("handled_tick") == self._was("tick", before), F.lit(False))
         if name == "last_run_includes_target":
             return other & F.coalesce(F.array_contains("last_run_nodes", F.col(outer[0])), F.lit(False)) if outer else F.lit(False)
         if name == "code_version_changed":
             return F.col("code_version").isNotNull() & ~F.col("code_version").eqNullSafe(F.col("made_with_code_version"))
-        earlier = F.lag("last_timestamp").over(before)
+        earlier = self._was("last_timestamp", before)
         if name == "data_version_changed":
-            was = F.lag("data_version").over(before)
+            was = self._was("data_version", before)
             changed = F.when(was.isNotNull(), F.col("data_version") != was).otherwise(~initial & ~earlier.eqNullSafe(now))
             return F.col("data_version").isNotNull() & changed
         own = F.coalesce(F.when(earlier.isNotNull(), now > earlier).otherwise(now.isNotNull() & ~initial), F.lit(False))

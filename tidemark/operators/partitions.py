@@ -12,6 +12,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,16 +88,22 @@ class TimeWindow:
             Cron.parse(self.cron)
         self.check_format()
 
-    def check_format(self, ticks: int = 1024) -> None:
-        """The format must tell neighbouring windows apart."""
-        before = None
-        for i, at in enumerate(self.ticks()):
-            text = at.strftime(self.fmt)
-            if text == before:
-                raise ValueError(f"{self.fmt!r} gives two windows the key {text!r}")
-            before = text
-            if i >= ticks:
+    def check_format(self, ticks: int = 1024, days: int = 1461) -> None:
+        """The key of a window must lead back to its start; the first ``ticks`` windows within ``days`` days are tried."""
+        if self.cron is not None and self.start.microsecond:
+            raise ValueError("a cron grid starts at a whole second")
+        for at in islice(self.ticks(), ticks):
+            if at > self.start + timedelta(days=days):
                 break
+            text = at.strftime(self.fmt)
+            if any(c in text for c in RESERVED):
+                raise ValueError(f"{self.fmt!r} gives the key {text!r} with a reserved character")
+            try:
+                back = datetime.strptime(text, self.fmt)
+            except ValueError as error:
+                raise ValueError(f"{self.fmt!r} gives the key {text!r}, which it can't read") from error
+            if back != at:
+                raise ValueError(f"{self.fmt!r} gives {at} the key {text!r}, which reads as {back}")
 
     def ticks(self) -> Iterator[datetime]:
         if self.every is not None:

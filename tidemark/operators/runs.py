@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.session import ship_package
+from tidemark.session import cut_lineage, ship_package
 
 QUEUE_STATES = ("Queued", "NotStarted")
 BUSY_STATES = ("Started", "NotStarted")
@@ -151,6 +151,22 @@ def queue_order() -> list[Column]:
     return [F.desc("priority"), F.asc("start_time"), F.asc("run_id")]
 
 
+def places(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``rows`` with ``place``, the number of each row within its key (from 1) in a total order, and ``waiting``, how many there are.
+
+    No task takes all rows of a key: rows are range-partitioned by key and order, numbered slice by
+    slice, and moved by the sizes of the slices before, of which there is one row per key and task.
+    """
+    stored = cut_lineage(rows.repartitionByRange(*(F.asc(k) for k in keys), *order).withColumn("__slice", F.spark_partition_id()))
+    sizes = stored.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    of_key = W.partitionBy(*keys)
+    before = F.coalesce(F.sum("__n").over(of_key.orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__slice").alias("__of"), before.alias("__before"), F.sum("__n").over(of_key).alias("waiting"))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys), F.col("__slice") == F.col("__of"))
+    number = F.row_number().over(W.partitionBy(*keys, "__slice").orderBy(*order))
+    return stored.withColumn("__local", number).join(offsets, same).select(*rows.columns, (F.col("__before") + F.col("__local")).alias("place"), "waiting")
+
+
 def dequeue_global(runs: DataFrame, most: int) -> DataFrame:
     """The queued runs that start next if each code location may have ``most`` in progress; below 0 means no limit.
 

@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.registry import CORE, Registry
 
-MODULES = ("pipeline_queries", "run_queries", "event_queries", "partition_queries", "graph_queries", "table_queries", "control_queries", "condition_queries", "stream_queries")
+MODULES = ("pipeline_queries", "run_queries", "event_queries", "partition_queries", "graph_queries", "table_queries", "control_queries", "condition_queries", "stream_queries", "asset_queries")
 
 
 def load() -> Registry:

@@ -207,10 +207,10 @@ def last_run_includes_target(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tick_tags(spark: SparkSession, d: str) -> DataFrame:
-    """Per asset and day the tag lists of the runs that began."""
+    """Per asset and day the different tag lists of the runs that began; equal ones count once, before the shuffle."""
     day = (F.floor(F.col("start_time") / F.lit(DAY_NS)) - DAY0).cast("long")
     rows = table(spark, d, "runs").select(F.explode(F.array_distinct("node_names")).alias("key"), "code_location_id", day.alias("tick"), "tags")
-    return rows.groupBy(*IDS, "tick").agg(F.collect_list("tags").alias("tick_run_tags"))
+    return rows.groupBy(*IDS, "tick").agg(F.collect_set("tags").alias("tick_run_tags"))
 
 
 TICKS = f"t AS (SELECT unnest(list_distinct(node_names)) AS key, code_location_id, start_time // {DAY_NS} - {DAY0} AS tick, len(list_filter(tags, lambda t: t.k = 'team')) > 0 AS ok FROM runs)"

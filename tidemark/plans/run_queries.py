@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidemark.operators import runs as R
 from tidemark.plans.registry import CORE
@@ -202,12 +201,8 @@ def queue_lanes(spark: SparkSession, d: str) -> DataFrame:
  count(*) OVER (PARTITION BY code_location_id) AS waiting FROM runs WHERE status = 'Queued'""",
 )
 def pending_position(spark: SparkSession, d: str) -> DataFrame:
-    location = W.partitionBy("code_location_id")
-    return (
-        runs(spark, d)
-        .filter("status = 'Queued'")
-        .select("run_id", "code_location_id", F.row_number().over(location.orderBy(*R.queue_order())).cast("long").alias("place"), F.count(F.lit(1)).over(location).alias("waiting"))
-    )
+    queued = runs(spark, d).filter("status = 'Queued'").select("run_id", "code_location_id", "priority", "start_time")
+    return R.places(queued, ["code_location_id"], R.queue_order()).select("run_id", "code_location_id", "place", "waiting")
 
 
 @CORE.query(

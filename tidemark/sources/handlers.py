@@ -334,4 +334,24 @@ class KeyValues:
         return None if row is None else bytes(row["value"])
 
 
-__all__ = ["KeyValues", "schema_from_bytes", "schema_to_bytes", "AssetSettings", "Context", "Handlers", "IOHandler", "MemoryHandler", "Static", "TableHandler", "TimeWindow", "convert", "partition_suffix", "to_frame"]
+class RunFlags:
+    """Outcome and cancellation of runs, kept by run id."""
+
+    def __init__(self, values: KeyValues) -> None:
+        self.values = values
+
+    def finish(self, run_id: str, outcome: str) -> None:
+        self.values.set(f"outcome/{run_id}", outcome.encode())
+
+    def outcome(self, run_id: str) -> str | None:
+        found = self.values.get(f"outcome/{run_id}")
+        return None if found is None else found.decode()
+
+    def cancel(self, run_id: str) -> None:
+        self.values.set(f"cancelled/{run_id}", b"1")
+
+    def cancelled(self, run_id: str) -> bool:
+        return self.values.get(f"cancelled/{run_id}") is not None
+
+
+__all__ = ["KeyValues", "PickleHandler", "RunFlags", "TypeHandler", "register", "schema_from_bytes", "schema_to_bytes", "AssetSettings", "Context", "Handlers", "IOHandler", "MemoryHandler", "Static", "TableHandler", "TimeWindow", "convert", "partition_suffix", "to_frame"]

@@ -64,15 +64,21 @@ class Automation:
     sensors: Sequence[Sensor] = ()
 
     def _state(self) -> dict[str, dict[str, Any]]:
-        """Last tick, last cursor and requested keys of each automation: one row each."""
+        """Last tick and last cursor of each automation: one row each."""
         if not self.table.exists():
             return {}
         order = F.col("timestamp")
-        rows = self.table.read().groupBy("automation").agg(
-            F.max(order).alias("at"), F.max_by("cursor", F.when(F.col("cursor").isNotNull(), order)).alias("cursor"), F.array_distinct(F.flatten(F.collect_list("requests"))).alias("asked")
-        )
+        rows = self.table.read().groupBy("automation").agg(F.max(order).alias("at"), F.max_by("cursor", F.when(F.col("cursor").isNotNull(), order)).alias("cursor"))
         return {r["automation"]: r.asDict() for r in rows.collect()}
 
+    def _asked(self, wanted: Mapping[str, Sequence[Request]]) -> set[tuple[str, str]]:
+        """Which of some requests were made before: looked up in the table, so only those come back."""
+        keys = [(name, r.key) for name, found in wanted.items() for r in found]
+        if not keys or not self.table.exists():
+            return set()
+        before = self.table.read().select("automation", F.explode("requests").alias("key"))
+        return {tuple(r) for r in before.join(F.broadcast(self.table.spark.createDataFrame(keys, "automation string, key string")), ["automation", "key"]).distinct().collect()}
+
     def tick(self, now_ns: int) -> dict[str, list[Request]]:
         """Evaluate what is due and store the ticks in one commit; returns the new requests."""
         spark, state = self.table.spark, self._state()
@@ -98,9 +104,11 @@ class Automation:
             if isinstance(found, Skip):
                 rows.append((one.name, kind, "skipped", now_ns, [], found.reason, tick.cursor))
                 continue
-            new = [r for r in found if r.key not in set(known.get("asked") or ())]
-            wanted[one.name] = new
-            rows.append((one.name, kind, "success", now_ns, [r.key for r in new], None, tick.cursor))
+            wanted[one.name] = list(found)
+            rows.append((one.name, kind, "success", now_ns, None, None, tick.cursor))
+        asked = self._asked(wanted)
+        wanted = {name: [r for r in found if (name, r.key) not in asked] for name, found in wanted.items()}
+        rows = [(*row[:4], [r.key for r in wanted[row[0]]], *row[5:]) if row[2] == "success" else row for row in rows]
         if rows:
             self.table.write(spark.createDataFrame(rows, TICKS), "append")
         return wanted

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -82,6 +83,33 @@ class CommittedSink:
             self.table.write(self.apply(batch), "merge", keys=self.keys, clauses=self.clauses, batch=(self.stream, number))
 
 
+class EventBuffer:
+    """Collects events of a program and appends them to a table in batches: when ``size`` are held, when the
+    oldest has waited ``wait_s``, and at the end. Events of a batch that can't be written stay in the buffer."""
+
+    def __init__(self, table: VersionedTable, schema: str, size: int = 64, wait_s: float = 0.5, clock: Callable[[], float] = time.monotonic) -> None:
+        self.table, self.schema, self.size, self.wait_s, self.clock = table, schema, size, wait_s, clock
+        self.held: list[tuple] = []
+        self.since = 0.0
+
+    def add(self, *event: object) -> None:
+        self.since = self.since if self.held else self.clock()
+        self.held.append(event)
+        if len(self.held) >= self.size or self.clock() - self.since >= self.wait_s:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.table.write(self.table.spark.createDataFrame(self.held, self.schema), "append")
+            self.held = []
+
+    def __enter__(self) -> EventBuffer:
+        return self
+
+    def __exit__(self, *failed: object) -> None:
+        self.flush()
+
+
 def asset_state_sink(table: VersionedTable) -> CommittedSink:
     """Keeps the newest materialisation of each asset; an older one that comes late changes nothing."""
 
