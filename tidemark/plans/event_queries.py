@@ -84,7 +84,7 @@ def universe(spark: SparkSession, d: str) -> DataFrame:
 
 
 UNIVERSE = f"""u AS (SELECT code_location_id, asset_key, strftime(t.x, '%Y-%m-%d') AS p FROM assets,
- (SELECT unnest(generate_series(DATE '2024-11-18', DATE '2025-02-15', INTERVAL 1 DAY)) AS x) t),
+ (SELECT unnest(generate_series(DATE '2024-11-18', CAST(make_timestamp(max(latest) // 1000) AS DATE), INTERVAL 1 DAY)) AS x FROM (SELECT max(timestamp) AS latest FROM asset_events UNION ALL SELECT max(start_time) FROM runs)) t),
 m AS (SELECT DISTINCT code_location_id, asset_key, {MEMBERS} AS p FROM asset_events WHERE event_type = 'Materialization')"""
 
 
