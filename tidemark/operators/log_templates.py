@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.logtime import LETTER_TIME, LEVEL_LETTERS, LEVEL_OF, TIME, parse_time
-from tidemark.session import cut_lineage, ship_package
+from tidemark.session import cut_lineage, ship_package, spread
 
 STREAMS = ("stdout", "stderr", "logs")
 GAP = "*"
@@ -364,7 +364,7 @@ def mine_templates(logs: DataFrame, streams: Sequence[str] = STREAMS, fan_in: in
             yield rows.assign(task=TaskContext.get().partitionId(), part=number)
 
     # Stored once: templates and counts both start from what the tasks found.
-    found = cut_lineage(logs.select(*streams).mapInPandas(run, f"{SCHEMA}, task int, part int"))
+    found = cut_lineage(spread(logs.select(*streams)).mapInPandas(run, f"{SCHEMA}, task int, part int"))
     mined = ~F.col("syntax").endswith(" set") & (F.col("syntax") != "total")
     counts = found.filter(~mined).groupBy("syntax", "opening", "head", "template").agg(F.sum("lines").alias("lines"))
     merged = found.filter(mined)
@@ -587,8 +587,8 @@ def find_layouts(templates: DataFrame, min_share: float = MIN_SHARE) -> Layouts:
     """
     ship_package(templates.sparkSession)
     templates = cut_lineage(templates)
-    total = templates.filter("syntax = 'total'").agg(F.sum("lines")).first()[0] or 0
-    least = max(2, min(total * min_share, MIN_LINES))
+    sequences = templates.filter("kinds IS NOT NULL OR syntax = 'total'").orderBy(F.desc("lines"), "template").collect()
+    least = max(2, min(sum(r["lines"] for r in sequences if r["syntax"] == "total") * min_share, MIN_LINES))
 
     def headers(rows: pd.DataFrame) -> pd.DataFrame:
         heads: dict[tuple, list] = defaultdict(list)
@@ -617,7 +617,7 @@ def find_layouts(templates: DataFrame, min_share: float = MIN_SHARE) -> Layouts:
 
     by_syntax: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
     of_template: dict[str, list[tuple[list[str], dict[str, str]]]] = defaultdict(list)
-    for r in templates.filter("kinds IS NOT NULL").orderBy(F.desc("lines"), "template").collect():
+    for r in (r for r in sequences if r["kinds"] is not None):
         kinds = {key: Counter(n) for key, n in json.loads(r["kinds"]).items()}
         for key, counts in kinds.items():
             by_syntax[r["syntax"]][key].update(counts)
@@ -784,4 +784,4 @@ def parse_entries(logs: DataFrame, layouts: Layouts, record: str = "log_id", tim
 
     schema = "record long, stream string, line_no long, n_lines long, ts_us long, level string, component string" + ", message string" * message
     near = F.col(timestamp).cast("string")  # whole nanoseconds, which a float column with nulls would round
-    return logs.select(F.col(record).cast("long"), near, *streams).mapInPandas(run, schema).distinct().withColumnRenamed("record", record)
+    return spread(logs.select(F.col(record).cast("long"), near, *streams)).mapInPandas(run, schema).distinct().withColumnRenamed("record", record)

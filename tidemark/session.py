@@ -8,6 +8,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -65,11 +66,23 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def scan_width(df: DataFrame) -> int:
     """About how many tasks read the input of ``df`` where no shuffle comes first, by the planner's size of it; 0 if it has none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     per_task = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
     return -(-size // per_task) if size < 1 << 60 else 0
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input is too small to be read by as many tasks, else as it is.
+
+    For rows that Python works on for long: a file with one row group would be one task. What is moved
+    is less than a scan task's size for each core; larger inputs are read by enough tasks already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not 0 < scan_width(df) < cores:
+        return df
+    return df.withColumn("__row", F.monotonically_increasing_id()).repartition(cores, "__row").drop("__row")
+
+
 _SHIPPED: set[str] = set()
 
 
