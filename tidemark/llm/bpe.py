@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.session import ship_package, spread
+
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 
@@ -204,7 +206,7 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     """``key`` and ``ids`` (array<int>) of each row, without special tokens.
 
     A null, an empty text and a text of no bytes give []. Whole texts are encoded, in the input's
-    partitions and with no shuffle. Strings that look like special tokens are plain text; rows that
+    partitions (a small input is first spread over all cores). Strings that look like special tokens are plain text; rows that
     repeat a key stay. An empty table gives no rows.
     """
 
@@ -221,8 +223,9 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", path:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i - first), ids], [key, "ids"])
                     flat, offsets, first = [], [0], i
 
+    ship_package(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def count_column(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/{BYTE_BPE}") -> DataFrame:
@@ -234,5 +237,6 @@ def count_column(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
             counts = pa.array([words.count(v) for v in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts], [key, "n_tokens"])
 
+    ship_package(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, n_tokens long")

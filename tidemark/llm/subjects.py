@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage, ship_package
+from tidemark.session import cut_lineage, ship_package, spread
 
 #: Hash buckets of words and word pairs: the size of the model.
 BUCKETS = 1 << 18
@@ -122,7 +122,7 @@ def encode_documents(documents: DataFrame, keep: Sequence[str], text: str = "tex
                     known, flat, sizes, first = [], [], [], i
 
     kept = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return documents.select(*keep, text).mapInArrow(run, f"{kept}, {ENCODED}")
+    return spread(documents.select(*keep, text)).mapInArrow(run, f"{kept}, {ENCODED}")
 
 
 @dataclass
