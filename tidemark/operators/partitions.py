@@ -8,6 +8,7 @@ computed by the schedule in a Pandas UDF over days.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -99,7 +100,9 @@ class TimeWindow:
             if any(c in text for c in RESERVED):
                 raise ValueError(f"{self.fmt!r} gives the key {text!r} with a reserved character")
             try:
-                back = datetime.strptime(text, self.fmt)
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore", DeprecationWarning)  # a format without a year reads as 1900, so it fails below
+                    back = datetime.strptime(text, self.fmt)
             except ValueError as error:
                 raise ValueError(f"{self.fmt!r} gives the key {text!r}, which it can't read") from error
             if back != at:
