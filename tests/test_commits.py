@@ -5,6 +5,7 @@ import types
 import pyarrow as pa
 import pytest
 from conftest import rows
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemark.operators.merge import AmbiguousMerge, merge
@@ -184,3 +185,100 @@ def test_own_types_come_first(spark):
         assert H.convert(df, pa.Table).num_rows == 2 and sum(b.num_rows for b in H.convert(df, pa.RecordBatchReader)) == 2
     finally:
         H.TYPES.pop(0)
+
+
+def test_buffered_events_are_committed_without_jobs(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from tidemark.streaming.events import EventBuffer
+
+    table, mixed = VersionedTable(spark, str(tmp_path / "t x")), [("Überlauf", 1 << 62, -0.5, True, 7), (None, None, None, None, None), ("a\0,", -1, float("inf"), False, -7)]
+    schema = "kind string, n long, x double, ok boolean, i int"
+    spark.sparkContext.setJobGroup("buffer", "")
+    try:
+        with EventBuffer(table, schema, size=3, wait_s=float("inf")) as buffer:
+            for event in 40 * mixed + mixed[:1]:
+                buffer.add(*event)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("buffer")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert table.versions() == list(range(41)) and rows(table.read(5)) == sorted(6 * mixed, key=repr)
+    assert rows(table.read()) == sorted(40 * mixed + mixed[:1], key=repr) and table.schema() == StructType.fromDDL(schema)
+    assert not [f for f in (tmp_path / "t x" / "log").iterdir() if f.name.startswith(".")]
+
+
+def test_appended_rows_see_what_other_writers_did(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    root, schema = str(tmp_path / "t"), StructType.fromDDL(SCHEMA)
+    one, other = VersionedTable(spark, root), VersionedTable(spark, root)
+    assert [t.append_rows([(k, 1)], schema).version for t, k in ((one, "a"), (other, "b"), (one, "c"))] == [0, 1, 2]
+    for i in range(3):
+        other.append_rows([("d", i)], schema)
+    other.vacuum(1)
+    assert one.append_rows([("e", 9)], schema).version == 6 and one.versions() == [5, 6] and one.read().count() == 7
+    other.write(frame(spark, [("f", 1)]), "merge", keys=["key"], batch=("s", 4))
+    one.append_rows([("g", 1)], schema)
+    assert one.batches() == {"s": 4} and rows(one.read().filter("key > 'd'"), "key") == [("e",), ("f",), ("g",)]
+    late = Overtaken(spark, root)
+    late.other = lambda: other.append_rows([("h", 1)], schema)
+    late.append_rows([("i", 1)], schema)
+    late.other = lambda: other.write(spark.createDataFrame([(1,)], "z int"), "create_or_replace")
+    with pytest.raises(CommitConflict):
+        late.append_rows([("j", 1)], schema)
+    with pytest.raises(AnalysisException):
+        one.append_rows([("k", 1)], schema)
+    assert rows(one.read()) == [(1,)]
+
+
+def test_appended_rows_that_are_not_plain_go_by_a_frame(spark, tmp_path):
+    from datetime import UTC, datetime
+
+    from pyspark.sql.types import StructType
+
+    from tidemark.streaming.events import EventBuffer
+
+    buffer = EventBuffer(VersionedTable(spark, str(tmp_path / "t")), SCHEMA, size=1)
+    for bad in (("a", "x"), ("a", True), ("a", 1 << 63), ("a",)):
+        with pytest.raises(Exception):  # noqa: B017 - Spark's own error
+            buffer.add(*bad)
+        assert buffer.held.pop() == bad and not buffer.held and not buffer.table.exists()
+    buffer.add(5, 5)
+    buffer.add("b", 6)
+    at = StructType.fromDDL("val int, key string")
+    buffer.table.append_rows([(7, "c")], at)
+    assert rows(buffer.table.read()) == [("5", 5), ("b", 6), ("c", 7)] and buffer.table.schema() == StructType.fromDDL(SCHEMA)
+    nested = VersionedTable(spark, str(tmp_path / "n"))
+    nested.append_rows([([1, 2], datetime(2024, 1, 1, tzinfo=UTC))], StructType.fromDDL("a array<int>, t timestamp"))
+    assert nested.read().select("a", F.unix_seconds("t")).first() == ([1, 2], 1704067200)
+    parted = VersionedTable(spark, str(tmp_path / "p"), ["key"])
+    parted.append_rows([("a/b", 1), ("c", 2)], StructType.fromDDL(SCHEMA))
+    assert rows(parted.read()) == [("a/b", 1), ("c", 2)]
+
+
+def test_a_disk_without_links_commits_by_renaming(spark, tmp_path, monkeypatch):
+    import os
+
+    from pyspark.sql.types import StructType
+
+    def refused(*_):
+        raise PermissionError
+
+    monkeypatch.setattr(os, "link", refused)
+    table, schema = VersionedTable(spark, str(tmp_path / "t")), StructType.fromDDL(SCHEMA)
+    for i in range(3):
+        table.append_rows([("a", i)], schema)
+    late = Overtaken(spark, table.root)
+    late.other = lambda: table.append_rows([("b", 3)], schema)
+    late.append_rows([("c", 4)], schema)
+    assert rows(table.read(), "val") == [(i,) for i in range(5)] and table.versions() == list(range(5))
+
+
+def test_rows_are_appended_off_the_local_disk_too(spark, tmp_path, monkeypatch):
+    from pyspark.sql.types import StructType
+
+    monkeypatch.setattr(VersionedTable, "_disk", None)  # by Hadoop's calls, as on any store
+    table, schema = VersionedTable(spark, str(tmp_path / "t")), StructType.fromDDL(SCHEMA)
+    assert [table.append_rows([("a", i)], schema).version for i in range(3)] == [0, 1, 2]
+    VersionedTable(spark, table.root).append_rows([("b", 3)], schema)
+    assert table.append_rows([("c", 4)], schema).version == 4 and rows(table.read(), "val") == [(i,) for i in range(5)]

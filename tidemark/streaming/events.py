@@ -88,7 +88,7 @@ class EventBuffer:
     oldest has waited ``wait_s``, and at the end. Events of a batch that can't be written stay in the buffer."""
 
     def __init__(self, table: VersionedTable, schema: str, size: int = 64, wait_s: float = 0.5, clock: Callable[[], float] = time.monotonic) -> None:
-        self.table, self.schema, self.size, self.wait_s, self.clock = table, schema, size, wait_s, clock
+        self.table, self.schema, self.size, self.wait_s, self.clock = table, StructType.fromDDL(schema), size, wait_s, clock
         self.held: list[tuple] = []
         self.since = 0.0
 
@@ -100,7 +100,7 @@ class EventBuffer:
 
     def flush(self) -> None:
         if self.held:
-            self.table.write(self.table.spark.createDataFrame(self.held, self.schema), "append")
+            self.table.append_rows(self.held, self.schema)
             self.held = []
 
     def __enter__(self) -> EventBuffer:
